@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import bpe, leaks, splitting
+from quillspan.llm import batches, bpe, leaks, splitting
 from quillspan.sources.tables import table
 
 
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    history = batches.History(spark)
+    history.append(table(spark, base, "candidates"))
+    return history.duplicates()
+
+
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return bpe.encode_column(table(spark, base, "documents"))
 
@@ -37,7 +43,7 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries():
-    named = (p8_ids, p8_decoded, p9_found, p9_clean, p9_report, p10_found, p10_pieces)
+    named = (p4_found, p8_ids, p8_decoded, p9_found, p9_clean, p9_report, p10_found, p10_pieces)
     return {f.__name__: f for f in named}
 
 
