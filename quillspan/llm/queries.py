@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import batches, bpe, leaks, splitting
+from quillspan.llm import batches, boilerplate, bpe, leaks, splitting
 from quillspan.sources.tables import table
 
 
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    return boilerplate.article_lines(table(spark, base, "fetched_references")).select("page_id", "line_no")
+
+
+def p1_text(spark: SparkSession, base: str) -> DataFrame:
+    return boilerplate.article_text(table(spark, base, "fetched_references"))
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     history = batches.History(spark)
     history.append(table(spark, base, "candidates"))
@@ -43,7 +51,7 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries():
-    named = (p4_found, p8_ids, p8_decoded, p9_found, p9_clean, p9_report, p10_found, p10_pieces)
+    named = (p1_found, p1_text, p4_found, p8_ids, p8_decoded, p9_found, p9_clean, p9_report, p10_found, p10_pieces)
     return {f.__name__: f for f in named}
 
 
