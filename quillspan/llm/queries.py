@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import batches, boilerplate, bpe, leaks, splitting
+from quillspan.llm import batches, boilerplate, bpe, leaks, scans, splitting
 from quillspan.sources.tables import table
 
 
@@ -16,6 +16,19 @@ def p1_text(spark: SparkSession, base: str) -> DataFrame:
     return boilerplate.article_text(table(spark, base, "fetched_references"))
 
 
+def _clean_words(spark: SparkSession, base: str) -> dict[str, int]:
+    lines = table(spark, base, "chunks").filter("location.kind = 'lines'").select("body")
+    return scans.word_counts(lines, table(spark, base, "candidates").select("staged_text"))
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return scans.noise_lines(table(spark, base, "chunks"), table(spark, base, "items"), _clean_words(spark, base))
+
+
+def p3_text(spark: SparkSession, base: str) -> DataFrame:
+    return scans.repaired_text(table(spark, base, "chunks"), table(spark, base, "items"), _clean_words(spark, base))
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     history = batches.History(spark)
     history.append(table(spark, base, "candidates"))
@@ -51,7 +64,7 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries():
-    named = (p1_found, p1_text, p4_found, p8_ids, p8_decoded, p9_found, p9_clean, p9_report, p10_found, p10_pieces)
+    named = (p1_found, p1_text, p3_found, p3_text, p4_found, p8_ids, p8_decoded, p9_found, p9_clean, p9_report, p10_found, p10_pieces)
     return {f.__name__: f for f in named}
 
 
