@@ -16,8 +16,16 @@ ISO_DATE = r"^\d{4}-\d\d-\d\d$"
 ISO_TIME = r"^(\d{4}-\d\d-\d\d)[T ](\d\d:\d\d)(:\d\d(?:[.]\d{1,6})?)?(Z|[+-]\d\d:?\d\d)?$"
 
 
+_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
+
 def universal_newlines(c: Column) -> Column:
-    return F.regexp_replace(c, r"\r\n?", "\n")
+    return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
+def one_line_break(c: Column) -> Column:
+    """A text with the line feed as its only line separator."""
+    return F.translate(F.replace(c, F.lit("\r\n"), F.lit("\n")), _BREAKS, "\n" * len(_BREAKS))
 
 
 def split_lines(c: Column) -> Column:
@@ -79,9 +87,9 @@ def deadline_us(c: Column) -> Column:
     sec, zone = F.regexp_extract(s, ISO_TIME, 3), F.regexp_extract(s, ISO_TIME, 4)
     local = F.unix_micros(F.try_to_timestamp(F.concat(day, F.lit(" "), clock, F.when(sec == "", ":00").otherwise(sec))))
     digits = F.replace(zone, F.lit(":"), F.lit(""))
-    minutes = F.when((zone == "") | (zone == "Z"), 0).otherwise(
+    minutes = F.when((zone == "") | (zone == "Z"), F.lit(0).cast("long")).otherwise(
         F.when(F.left(zone, F.lit(1)) == "-", -1).otherwise(1)
-        * (F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int"))
+        * (F.substring(digits, 2, 2).try_cast("long") * 60 + F.substring(digits, 4, 2).try_cast("long"))
     )
     return F.when(s.rlike(ISO_DATE), F.unix_micros(F.try_to_timestamp(F.concat(s, F.lit(" 00:00:00"))))).when(
         s.rlike(ISO_TIME), local - minutes * F.lit(60_000_000)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.keys import strip
-from quillspan.functions.text import short_id, split_lines, universal_newlines
+from quillspan.functions.text import one_line_break, short_id, universal_newlines
 
 CHUNK_LINES = 40
 
@@ -21,28 +21,25 @@ def chunk_texts(texts: DataFrame, lines: int = CHUNK_LINES) -> DataFrame:
     paged = F.contains("text", F.lit("\f"))
     if "media_type" in texts.columns:
         paged = paged | (F.coalesce("media_type", F.lit("")) == "application/pdf")
-    t = texts.withColumn("text", universal_newlines(F.col("text").cast("string"))).filter("text is not null")
-    step, n = F.lit(lines), F.size("ls")
+    t = texts.withColumn("text", F.col("text").cast("string")).filter("text is not null")
+    # blocks of lines are matched in one pass; nothing in a lambda looks back at the text
+    flat = one_line_break(F.col("text"))
+    ended = F.when((flat == "") | flat.endswith("\n"), flat).otherwise(F.concat(flat, F.lit("\n")))
+    no = F.lit(None).cast("int")
     pieces = F.when(
-        paged,
-        F.transform(
-            F.split("text", "\f"),
-            lambda p, i: F.struct(
-                strip(p).alias("body"), F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"), (i + 1).alias("page")
-            ),
-        ),
+        paged, F.transform(F.split(universal_newlines(F.col("text")), "\f"), lambda p, i: F.struct(strip(p).alias("body"), no.alias("a"), no.alias("b"), (i + 1).alias("page")))
     ).otherwise(
         F.transform(
-            F.sequence(F.lit(0), F.greatest((n - 1) / step, F.lit(0)).cast("int")),
-            lambda k: F.struct(
-                strip(F.array_join(F.slice("ls", k * step + 1, step), "\n")).alias("body"),
-                (k * step + 1).alias("a"),
-                F.least(n, (k + 1) * step).alias("b"),
-                F.lit(None).cast("int").alias("page"),
+            F.regexp_extract_all(ended, F.lit(f"(?:[^\n]*\n){{1,{lines}}}"), F.lit(0)),
+            lambda b, i: F.struct(
+                strip(b).alias("body"),
+                (i * lines + 1).alias("a"),
+                (i * lines + F.length(b) - F.length(F.replace(b, F.lit("\n"), F.lit("")))).alias("b"),
+                no.alias("page"),
             ),
         )
     )
-    full = t.withColumn("ls", split_lines(F.col("text"))).withColumn("p", F.filter(pieces, lambda x: x["body"] != ""))
+    full = t.withColumn("p", F.filter(pieces, lambda x: x["body"] != ""))
     out = full.select("item_id", "sha256", F.posexplode("p").alias("ordinal", "c"))
     sha = F.sha2(F.col("c.body"), 256)
     place = F.when(F.col("c.page").isNotNull(), F.concat(F.lit("page:"), "c.page")).otherwise(

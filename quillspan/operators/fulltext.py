@@ -68,9 +68,9 @@ def corpus_stats(rows: DataFrame) -> DataFrame:
 def _hits(tokens: str, words: list[str]) -> Column:
     if len(words) == 1:
         return F.size(F.filter(tokens, lambda t: t == words[0]))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (len(words) - 1), F.lit(1)))
-    same = lambda i: F.slice(tokens, i, len(words)) == F.array(*map(F.lit, words))
-    return F.size(F.filter(starts, same))
+    # neighbours by a look-ahead over the joined tokens: one pass, overlaps counted
+    joined = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
+    return F.regexp_count(joined, F.lit("(?= " + "  ".join(words) + " )"))
 
 
 def _one_row(df: DataFrame, stats: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def components(kids: DataFrame) -> tuple[DataFrame, DataFrame]:
     state = cut(
         kids.select("node", "parent", F.col("parent").alias("ptr"), F.least("node", "parent").alias("low"), F.lit(False).alias("done"))
     )
-    reach, finished = 1, None
+    reach, finished, before = 1, None, -1
     while True:
         t = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("t_ptr"), F.col("low").alias("t_low"), F.col("done").alias("t_done"))
         if finished is not None:
@@ -90,9 +90,11 @@ def components(kids: DataFrame) -> tuple[DataFrame, DataFrame]:
         state = step.filter("not done")
         active = state.count()
         reach *= 2
-        if active == 0 or reach >= active:
+        # below a root someone always finishes, so a count that stays is of cycles alone;
+        # after as many steps as there are nodes left every pointer stands on its cycle
+        if active == 0 or (active == before and reach >= active):
             break
-    # what is still active after `active` steps stands on a cycle
+        before = active
     rings = state.select(F.col("ptr").alias("node")).distinct()
     ring_low = state.join(rings, "node", "left_semi").select(F.col("node").alias("ptr"), F.col("low").alias("comp"))
     looped = state.join(ring_low, "ptr").select("node", "parent", "comp", F.lit(True).alias("loops"))

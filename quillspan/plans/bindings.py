@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.functions.keys import strip
-from quillspan.functions.text import universal_newlines
+from quillspan.functions.keys import not_blank
 from quillspan.operators.catalog import first_delivery
 from quillspan.operators.chunking import chunk_texts
-from quillspan.sources.tables import table
+from quillspan.sources.tables import spread, table
 
 
 def items(spark: SparkSession, base: str) -> DataFrame:
@@ -22,12 +21,11 @@ def candidates(spark: SparkSession, base: str) -> DataFrame:
 
 def document_items(spark: SparkSession, base: str) -> DataFrame:
     """Documents as catalog items with their text."""
-    text = universal_newlines(F.col("text"))
-    head = F.split(F.split(text, "\n")[0], " ")
+    head = F.split(F.regexp_extract("text", r"^[^\r\n]*", 0), " ")
     return (
-        table(spark, base, "documents")
+        spread(table(spark, base, "documents"))
         .filter("text is not null")
-        .filter(strip("text") != "")
+        .filter(not_blank("text"))
         .select(
             F.concat(F.lit("lib_"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("item_id"),
             F.array_join(F.slice(head, 1, 6), " ").alias("title"),

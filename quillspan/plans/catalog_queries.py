@@ -28,7 +28,7 @@ def _first(t: str, key: str) -> str:
 
 
 ITEMS, CANDS = _first("items", "item_id"), _first("candidates", "candidate_id")
-_TAGS = "array_to_string(list_sort(list_distinct(list_filter(list_transform(tags, x -> " + _STRIP.format("x") + "), x -> x <> ''))), ',')"
+_TAGS = "array_to_string(list_sort(list_distinct(list_filter(list_transform(tags, lambda x: " + _STRIP.format("x") + "), lambda x: x <> ''))), ',')"
 
 DOCS = rf"""(SELECT 'lib_' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS item_id,
   array_to_string(string_split(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))[1], ' ')[1:6], ' ') AS title,
@@ -56,7 +56,7 @@ CHUNKS = rf"""(SELECT item_id, 'chk_' || left(sha256(sha256 || '|' || place || '
 
 
 def _tok(c: str) -> str:
-    return f"list_filter(regexp_split_to_array(strip_accents(lower(coalesce({c}, ''))), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '')"
+    return f"list_filter(regexp_split_to_array(strip_accents(lower(coalesce({c}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
 TOKENS = f"""(SELECT item_id, chunk_id, title, title_t, source_t, tags_t, body_t, len(title_t) + len(source_t) + len(tags_t) + len(body_t) AS dl
@@ -69,7 +69,7 @@ def _bm25_sql(query: str) -> str:
 
     def hits(col: str, p: list[str]) -> str:
         test = " AND ".join(f"{col}[i + {j}] = '{w}'" for j, w in enumerate(p))
-        return f"len(list_filter(range(1, len({col}) + 1), i -> {test}))"
+        return f"len(list_filter(range(1, len({col}) + 1), lambda i: {test}))"
 
     freq = ", ".join(
         "(" + " + ".join(f"{w} * {hits(f + '_t', p)}" for f, w in fulltext.WEIGHTS.items()) + f") AS f{i}" for i, p in enumerate(phrases)
@@ -175,10 +175,11 @@ def _search(text: str, k: int = 20):
 for _name, _text in (
     ("bm25_single", "rheostat"),
     ("bm25_and", "gasket Brannick"),
-    ("bm25_phrase", "low-pressure v1.4 the"),
+    ("bm25_phrase", "low-pressure line-carries the"),
     ("bm25_repeated_term", "valve valve night"),
     ("bm25_idf_clamp", "the"),
     ("bm25_title_phrase", "owner-import thermostat"),
+    ("bm25_no_match", "low-pressure v1.4 the"),
 ):
     QUERIES[_name], SQL[_name] = _search(_text), _top(_bm25_sql(_text), 20)
 
@@ -350,7 +351,7 @@ def ingest_summary(s, b):
 
 @query(rf"""SELECT 'in/' || item_id || '_a.TXT' AS path, CASE WHEN doc_id % 3 = 0 THEN title_s WHEN doc_id % 4 = 0 THEN 'emb ' || doc_id ELSE regexp_replace(item_id || '_a', '_+', ' ', 'g') END AS title,
 CASE WHEN doc_id % 5 = 0 THEN 'side' ELSE source END AS source, trust_class, coalesce(nullif(lang, ''), 'en') AS language,
-array_to_string(list_sort(list_distinct(list_filter(['format:txt', source, CASE WHEN doc_id % 4 = 0 THEN 'author:A' END], x -> x IS NOT NULL))), ',') AS tags
+array_to_string(list_sort(list_distinct(list_filter(['format:txt', source, CASE WHEN doc_id % 4 = 0 THEN 'author:A' END], lambda x: x IS NOT NULL))), ',') AS tags
 FROM (SELECT d.*, {_STRIP.format('title')} AS title_n, coalesce(nullif({_STRIP.format('title')}, ''), CASE WHEN doc_id % 4 = 0 THEN 'emb ' || doc_id ELSE regexp_replace(item_id || '_a', '_+', ' ', 'g') END) AS title_s,
   (SELECT lang FROM documents x WHERE x.doc_id = d.doc_id) AS lang FROM {DOCS} d)""")
 def metadata_resolution(s, b):
