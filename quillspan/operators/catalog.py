@@ -17,7 +17,7 @@ from quillspan.functions.text import deadline_us, none_if_blank, tidy_tags
 def first_delivery(rows: DataFrame, key: str, delivered: str = "loaded_at") -> DataFrame:
     """One row per key, as delivered first."""
     cols = [c for c in rows.columns if c != key]
-    first = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*cols), delivered).alias("r"))
+    first = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(F.col(delivered).isNull(), F.col(delivered))).alias("r"))
     return first.select(key, "r.*")
 
 
