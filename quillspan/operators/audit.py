@@ -5,10 +5,20 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SNAPSHOT_FIELDS = ("title", "source", "trust_class", "media_type", "language", "sha256", "lifecycle_state", "version_label", "stale_after")
+SNAPSHOT_FIELDS = (
+    "title", "source", "source_uri", "trust_class", "media_type", "language", "sha256", "storage_path", "extracted_text_path", "imported_at", "published_at",
+    "rights_note", "tags", "version_label", "lifecycle_state", "stale_after", "supersedes_item_id", "superseded_by_item_id",
+)
+CANDIDATE_FIELDS = (
+    "title", "source", "source_uri", "trust_class", "language", "sha256", "staged_path", "staged_at", "state", "published_at", "rights_note", "tags",
+    "rejection_reason", "version_label", "stale_after", "supersedes_item_id",
+)
+PATH_FIELDS = ("storage_path", "extracted_text_path", "staged_path")
+#: Stands for the library's folder: catalog paths are relative to it.
+LIBRARY_ROOT = "/library-data"
 
 
 def duplicate_payloads(items: DataFrame) -> DataFrame:
@@ -66,25 +76,70 @@ def findings_summary(findings: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_records(items: DataFrame) -> DataFrame:
+def relative_path(path: Column, root: str = LIBRARY_ROOT) -> Column:
+    """A path without ``.`` and ``..`` relative to the root; null if it is empty or
+    leads out of the root."""
+    full = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+    steps = F.filter(F.split(full, "/"), lambda x: ~x.isin("", "."))
+    real = F.aggregate(
+        steps, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x)))
+    )
+    at = F.concat(F.lit("/"), F.array_join(real, "/"))
+    home = root.rstrip("/") + "/"
+    inside = F.substring(at, len(home) + 1, 1 << 30)
+    return F.when(path == "", None).when(F.startswith(at, F.lit(home)), inside).when(F.concat(at, F.lit("/")) == home, F.lit("."))
+
+
+def _records(rows: DataFrame, key: str, fields: tuple[str, ...], root: str) -> DataFrame:
+    kinds = dict(rows.dtypes)
+
+    def value(f: str) -> Column:
+        if f in PATH_FIELDS:
+            return relative_path(F.col(f), root).alias(f)
+        if kinds[f].startswith("array"):
+            return F.coalesce(F.col(f), F.array().cast(kinds[f])).alias(f)
+        return F.col(f)
+
+    body = F.to_json(F.struct(*[value(f) for f in sorted([key, *fields])]), {"ignoreNullFields": "false"})
+    return rows.select(key, body.alias("record"))
+
+
+def snapshot_records(items: DataFrame, root: str = LIBRARY_ROOT) -> DataFrame:
     """(item_id, record): canonical JSON of each item, fields in order, nulls kept."""
-    body = F.to_json(F.struct(*sorted(["item_id", *SNAPSHOT_FIELDS])), {"ignoreNullFields": "false"})
-    return items.select("item_id", body.alias("record"))
+    return _records(items, "item_id", SNAPSHOT_FIELDS, root)
+
+
+def candidate_records(candidates: DataFrame, root: str = LIBRARY_ROOT) -> DataFrame:
+    """(candidate_id, record): canonical JSON of each candidate."""
+    return _records(candidates, "candidate_id", CANDIDATE_FIELDS, root)
 
 
-def snapshot_id(items: DataFrame, prefix: str = "snap_") -> DataFrame:
-    """(snapshot_id, n_items): a hash over the ordered hashes of the records. Hashes
-    are combined in 4096 groups first, so no row holds the whole catalog."""
-    r = snapshot_records(items).select("item_id", F.sha2("record", 256).alias("h"))
-    g = r.groupBy(F.substring(F.sha2("item_id", 256), 1, 3).alias("g")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("item_id", F.lit(":"), "h"))), "|"), 256).alias("gh"), F.count("*").alias("n")
+def _grouped_hash(records: DataFrame, key: str) -> DataFrame:
+    """(h, n) of records in any order, in one row."""
+    r = records.select(key, F.sha2("record", 256).alias("h"))
+    g = r.groupBy(F.substring(F.sha2(key, 256), 1, 3).alias("g")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(key, F.lit(":"), "h"))), "|"), 256).alias("gh"), F.count("*").alias("n")
     )
     return g.agg(
-        F.concat(F.lit(prefix), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("g", F.lit(":"), "gh"))), "|"), 256)).alias("snapshot_id"),
-        F.sum("n").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("g", F.lit(":"), "gh"))), "|"), 256).alias("h"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")
     )
 
 
+def snapshot_id(items: DataFrame, prefix: str = "snap_", candidates: DataFrame | None = None, root: str = LIBRARY_ROOT) -> DataFrame:
+    """(snapshot_id, n_items, n_candidates): a hash over the ordered hashes of the
+    records of items and, if given, candidates. Hashes are combined in 4096 groups
+    first, so no row holds the whole catalog."""
+    i = _grouped_hash(snapshot_records(items, root), "item_id").select(F.col("h").alias("ih"), F.col("n").alias("n_items"))
+    if candidates is None:
+        both = i.select("*", F.lit("").alias("ch"), F.lit(0).cast("long").alias("n_candidates"))
+    else:
+        c = _grouped_hash(candidate_records(candidates, root), "candidate_id")
+        both = i.crossJoin(c.select(F.col("h").alias("ch"), F.col("n").alias("n_candidates")))
+    # both are one row; none and no candidates are told apart
+    core = F.concat(F.lit("items:"), "ih", F.lit("|candidates:"), "ch")
+    return both.select(F.concat(F.lit(prefix), F.sha2(core, 256)).alias("snapshot_id"), "n_items", "n_candidates")
+
+
 def drift(old: DataFrame, new: DataFrame, key: str = "item_id", value: str = "record") -> DataFrame:
     """(key, change): added, removed or changed records between two snapshots."""
     o = old.select(key, F.col(value).alias("o"))

@@ -417,9 +417,14 @@ def snapshot_records(s, b):
     return audit.snapshot_records(items(s, b))
 
 
+@query()
+def snapshot_candidate_records(s, b):
+    return audit.candidate_records(candidates(s, b))
+
+
 @query()
 def snapshot_id(s, b):
-    return audit.snapshot_id(items(s, b))
+    return audit.snapshot_id(items(s, b), candidates=candidates(s, b))
 
 
 @query(f"""WITH i AS (SELECT *, ascii(right(item_id, 1)) AS z FROM {ITEMS}),

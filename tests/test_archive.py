@@ -96,6 +96,49 @@ def test_snapshot_id_ignores_order(spark):
     assert a == b and a.n_items == 20
 
 
+def _catalog(key, fields, **change):
+    row = {f: "v" for f in fields} | {key: "x", "tags": ["b", "a"]} | {f: f"d/{f}" for f in fields if f in audit.PATH_FIELDS} | change
+    return row, ", ".join(f"{f} {'array<string>' if f == 'tags' else 'string'}" for f in row)
+
+
+def test_snapshot_sees_every_field(spark):
+    import json
+
+    item, schema = _catalog("item_id", audit.SNAPSHOT_FIELDS)
+    cand, c_schema = _catalog("candidate_id", audit.CANDIDATE_FIELDS)
+    assert set(item) == {
+        "item_id", "title", "source", "source_uri", "trust_class", "media_type", "language", "sha256", "storage_path", "extracted_text_path", "imported_at", "published_at",
+        "rights_note", "tags", "version_label", "lifecycle_state", "stale_after", "supersedes_item_id", "superseded_by_item_id",
+    }
+    assert len(cand) == 17
+
+    def changed(row, key):
+        """The row and one copy for each other field, with that field changed."""
+        for f in row:
+            if f != key:
+                yield {**row, key: f, f: ["a", "b"] if f == "tags" else f"{row[f]}/new"}
+
+    new = spark.createDataFrame(list(changed(item, "item_id")), schema)
+    old = spark.createDataFrame([{**item, "item_id": r["item_id"]} for r in changed(item, "item_id")], schema)
+    found = audit.drift(audit.snapshot_records(old), audit.snapshot_records(new)).collect()
+    assert {(r.item_id, r.change) for r in found} == {(f, "changed") for f in audit.SNAPSHOT_FIELDS}
+
+    one = spark.createDataFrame([item], schema)
+    records = {r.record for r in audit.candidate_records(spark.createDataFrame([{**r, "candidate_id": "x"} for r in [cand, *changed(cand, "candidate_id")]], c_schema)).collect()}
+    assert len(records) == 17 and json.loads(min(records))["candidate_id"] == "x"
+    ids = [
+        audit.snapshot_id(one, candidates=c).first()
+        for c in (None, spark.createDataFrame([], c_schema), spark.createDataFrame([cand], c_schema), spark.createDataFrame([{**cand, "state": "new"}], c_schema))
+    ]
+    assert len({r.snapshot_id for r in ids}) == 4 and [r.n_candidates for r in ids] == [0, 0, 1, 1]
+
+
+def test_snapshot_paths(spark):
+    paths = {"a/b": "a/b", "./a//b": "a/b", "a/../b": "b", "../b": None, "/etc/x": None, "/library-data/a/../c": "c", "/library-data": ".", "": None, "/library-data2/x": None}
+    df = spark.createDataFrame([(p,) for p in [*paths, None]], "p string")
+    assert {r.p: r.r for r in df.select("p", audit.relative_path(F.col("p")).alias("r")).collect()} == {**paths, None: None}
+
+
 def test_vault(spark):
     df = spark.createDataFrame([("o1", "CACHE"), ("o2", "PERMANENT")], "object_id string, retention string")
     assert [r.retention for r in vault.promote(df, "STANDARD").orderBy("object_id").collect()] == ["STANDARD", "PERMANENT"]
