@@ -9,21 +9,44 @@ from quillspan.functions.text import none_if_blank, short_id
 
 HEX64 = "^[0-9a-f]{64}$"
 # What a member may not drift in without a warning.
-DRIFT_FIELDS = ("title", "lifecycle_state", "version_label", "stale_after", "trust_class")
+DRIFT_FIELDS = ("title", "lifecycle_state", "version_label", "stale_after", "trust_class", "supersedes_item_id", "superseded_by_item_id")
+MEMBER_FIELDS = (
+    "item_id", "title", "source", "source_uri", "trust_class", "media_type", "language", "sha256", "version_label", "lifecycle_state", "stale_after",
+    "supersedes_item_id", "superseded_by_item_id", "rights_note", "tags",
+)
+SIDECAR_FIELDS = ("author", "publisher", "license_status", "source_published_at", "acquired_at", "acquisition_method", "source_library_imported_at")
 MAX_MEMBERS, MAX_BYTES = 10_000, 8 << 30
 
 
-def members(items: DataFrame) -> DataFrame:
-    """Member rows of a pack per source: what is carried of each item."""
-    return items.select(
-        F.col("source").alias("pack_name"), "item_id", "title", "sha256", "trust_class", "media_type", "version_label", "lifecycle_state", "stale_after"
-    )
+def sidecars(provenance: DataFrame) -> DataFrame:
+    """(item_id, source_provenance): what goes with an item of its sidecar."""
+    return provenance.select("item_id", F.struct(*[none_if_blank(f).alias(f) for f in SIDECAR_FIELDS]).alias("source_provenance"))
+
+
+def members(items: DataFrame, provenance: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Member rows of a pack per source: what is carried of each item, with the size of
+    its payload (sha256, bytes) and its sidecar, null if there is none."""
+    p = payloads.groupBy("sha256").agg(F.max("bytes").alias("payload_bytes"))
+    tags = F.coalesce("tags", F.array().cast("array<string>")).alias("tags")
+    carried = items.select(F.col("source").alias("pack_name"), *[tags if f == "tags" else f for f in MEMBER_FIELDS])
+    return carried.join(p, "sha256", "left").join(sidecars(provenance), "item_id", "left").select("pack_name", *MEMBER_FIELDS, "payload_bytes", "source_provenance")
+
+
+def manifest_ids(m: DataFrame) -> DataFrame:
+    """(pack_name, pack_id, n_members): ids over all that the members carry."""
+    carried = sorted([*MEMBER_FIELDS, "payload_bytes", "source_provenance"])
+    return _ids(m, F.sha2(F.to_json(F.struct(*carried), {"ignoreNullFields": "false"}), 256))
 
 
 def pack_ids(m: DataFrame) -> DataFrame:
-    """(pack_name, pack_id, n_members): ids do not depend on member order. Members are
-    hashed in groups first, so that a large pack is no large row."""
-    line = F.sha2(F.concat_ws("|", "item_id", "sha256", "title"), 256)
+    """(pack_name, pack_id, n_members): ids over the members' identity and payload
+    alone; :func:`manifest_ids` tells apart packs that differ in any member field."""
+    return _ids(m, F.sha2(F.concat_ws("|", "item_id", "sha256", "title"), 256))
+
+
+def _ids(m: DataFrame, line: Column) -> DataFrame:
+    """Ids do not depend on member order. Members are hashed in groups first, so that a
+    large pack is no large row."""
     g = m.groupBy("pack_name", F.substring(F.sha2("item_id", 256), 1, 2).alias("g")).agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "|"), 256).alias("h"), F.count("*").alias("n")
     )
@@ -45,15 +68,16 @@ def member_codes(m: DataFrame) -> DataFrame:
     return m.join(n, ["pack_name", "item_id"]).select("pack_name", "item_id", F.array_join(codes, ",").alias("codes")).filter("codes <> ''").distinct()
 
 
-def against_library(m: DataFrame, items: DataFrame) -> DataFrame:
-    """(pack_name, item_id, codes): members against the live library."""
+def against_library(m: DataFrame, items: DataFrame, provenance: DataFrame) -> DataFrame:
+    """(pack_name, item_id, codes): members against the live library and its sidecars."""
     live = items.select("item_id", F.lit(True).alias("there"), F.col("sha256").alias("l_sha"), *[F.col(f).alias(f"l_{f}") for f in DRIFT_FIELDS])
-    at = m.join(live, "item_id", "left")
+    now = sidecars(provenance).select("item_id", F.col("source_provenance").alias("l_source_provenance"))
+    at = m.join(live, "item_id", "left").join(now, "item_id", "left")
     codes = F.when(F.col("there").isNull(), F.array(F.lit("missing_library_item"))).otherwise(
         F.array_compact(
             F.array(
                 F.when(F.col("l_sha") != F.col("sha256"), "payload_checksum_mismatch"),
-                *[F.when(~F.col(f).eqNullSafe(F.col(f"l_{f}")), f"drift_{f}") for f in DRIFT_FIELDS],
+                *[F.when(~F.col(f).eqNullSafe(F.col(f"l_{f}")), f"drift_{f}") for f in (*DRIFT_FIELDS, "source_provenance")],
             )
         )
     )

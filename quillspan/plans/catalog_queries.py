@@ -438,12 +438,35 @@ def snapshot_drift(s, b):
 
 
 # --- packs ------------------------------------------------------------------------
+def _sidecars(s, b):
+    return catalog.first_delivery(table(s, b, "source_provenance"), "item_id")
+
+
+def _altered(m):
+    z = F.ascii(F.right("item_id", F.lit(1)))
+    return m.withColumns({
+        "title": F.when(z % 11 == 0, " ").otherwise(F.col("title")), "sha256": F.when(z % 13 == 0, "bad").otherwise(F.col("sha256")),
+        "version_label": F.when(z % 5 == 0, F.lit("v9")).otherwise(F.col("version_label")),
+    })
+
+
+def _whole_members(s, b):
+    return _altered(packs.members(items(s, b), _sidecars(s, b), table(s, b, "acquisitions").select("sha256", "bytes")))
+
+
 def _members(s, b):
-    m = packs.members(items(s, b)).withColumn("z", F.ascii(F.right("item_id", F.lit(1))))
-    return m.select(
-        "pack_name", "item_id", F.when(F.col("z") % 11 == 0, " ").otherwise(F.col("title")).alias("title"), F.when(F.col("z") % 13 == 0, "bad").otherwise(F.col("sha256")).alias("sha256"),
-        "trust_class", "media_type", F.when(F.col("z") % 5 == 0, F.lit("v9")).otherwise(F.col("version_label")).alias("version_label"), "lifecycle_state", "stale_after",
-    )
+    m = _altered(items(s, b).withColumn("pack_name", F.col("source")))
+    return m.select("pack_name", "item_id", "title", "sha256", "trust_class", "media_type", "version_label", "lifecycle_state", "stale_after")
+
+
+@query()
+def pack_manifest_members(s, b):
+    return _whole_members(s, b)
+
+
+@query()
+def pack_manifest_ids(s, b):
+    return packs.manifest_ids(_whole_members(s, b))
 
 
 _MEM = f"""m AS (SELECT source AS pack_name, item_id, CASE WHEN z % 11 = 0 THEN ' ' ELSE title END AS title, CASE WHEN z % 13 = 0 THEN 'bad' ELSE sha256 END AS sha256,
@@ -474,7 +497,7 @@ concat_ws(',', CASE WHEN m.lifecycle_state IS DISTINCT FROM i.lifecycle_state TH
  CASE WHEN m.version_label IS DISTINCT FROM i.version_label THEN 'drift_version_label' END, CASE WHEN m.sha256 <> i.sha256 THEN 'payload_checksum_mismatch' END) END AS codes
 FROM m LEFT JOIN i ON i.item_id = m.item_id) SELECT * FROM x WHERE codes <> ''""")
 def pack_vs_library_drift(s, b):
-    return packs.against_library(_members(s, b), items(s, b).filter(F.ascii(F.right("item_id", F.lit(1))) % 9 != 0))
+    return packs.against_library(_whole_members(s, b), items(s, b).filter(F.ascii(F.right("item_id", F.lit(1))) % 9 != 0), _sidecars(s, b))
 
 
 @query(f"""WITH {_MEM}, p AS (SELECT sha256, max(bytes) AS bytes FROM acquisitions GROUP BY 1), d AS (SELECT DISTINCT pack_name, sha256 FROM m),

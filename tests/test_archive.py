@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as tx
 from quillspan.functions.keys import norm_key, strip
-from quillspan.operators import audit, catalog, chunking, federation, fulltext, vault, web, windows
+from quillspan.operators import audit, catalog, chunking, federation, fulltext, packs, vault, web, windows
 from quillspan.sources import files
 
 
@@ -139,6 +139,34 @@ def test_snapshot_paths(spark):
     assert {r.p: r.r for r in df.select("p", audit.relative_path(F.col("p")).alias("r")).collect()} == {**paths, None: None}
 
 
+def test_packs_carry_and_compare_every_field(spark):
+    item = {f: "v" for f in packs.MEMBER_FIELDS} | {"tags": ["b", "a"], "sha256": "0" * 64}
+    side = {f: "s" for f in packs.SIDECAR_FIELDS}
+    schema = ", ".join(f"{f} {'array<string>' if f == 'tags' else 'string'}" for f in item)
+
+    def made(row=item, sidecar=side, size=5):
+        rows = spark.createDataFrame([row], schema)
+        prov = spark.createDataFrame([{"item_id": "v", **sidecar}] if sidecar else [], "item_id string, " + ", ".join(f"{f} string" for f in side))
+        return packs.members(rows, prov, spark.createDataFrame([("0" * 64, size), ("0" * 64, 1)], "sha256 string, bytes long")), rows, prov
+
+    def pack_id(m):
+        return packs.manifest_ids(m.withColumn("pack_name", F.lit("p"))).first().pack_id
+
+    m, rows, prov = made()
+    got = m.first()
+    assert len(got) == 18 and got.payload_bytes == 5 and got.source_provenance.author == "s"
+    assert packs.against_library(m, rows, prov).count() == 0
+    ids = {pack_id(m), pack_id(made(size=6)[0]), pack_id(made(sidecar=None)[0]), pack_id(made(sidecar={**side, "author": "t"})[0])}
+    assert len(ids) == 4
+    changes = [{**item, f: ["a", "b"] if f == "tags" else "w"} for f in item if f not in ("item_id", "sha256")]
+    assert len(ids | {pack_id(made(row)[0]) for row in changes}) == 4 + len(changes)
+    for f in ("version_label", "lifecycle_state", "stale_after", "supersedes_item_id", "superseded_by_item_id"):
+        for value in ("w", None):
+            assert packs.against_library(m, made({**item, f: value})[1], prov).first().codes == f"drift_{f}"
+    for sidecar in (None, {**side, "source_library_imported_at": "t"}):
+        assert packs.against_library(m, rows, made(sidecar=sidecar)[2]).first().codes == "drift_source_provenance"
+
+
 def test_vault(spark):
     df = spark.createDataFrame([("o1", "CACHE"), ("o2", "PERMANENT")], "object_id string, retention string")
     assert [r.retention for r in vault.promote(df, "STANDARD").orderBy("object_id").collect()] == ["STANDARD", "PERMANENT"]
