@@ -5,8 +5,10 @@ are told by what repeats at the edges of an item's pages and by numbers that run
 with them. The rest becomes one character stream without lines, decoded jointly
 into words: a Viterbi search over a trie of known words allows words split by a
 blank, run together, cut by a hyphen at a line end, and misread characters, each at
-a cost. Known words are fixed points, so the search runs over the spans between
-them. Paragraph boundaries are the cheapest set under a dynamic program over the
+a cost. The search runs over windows of the stream, line ends kept, around all that is
+not a known word; known words within ``CONTEXT`` tokens of it are cheap arcs and may be
+pieces of a split word, those farther off are fixed points. Cuts that the words alone
+settle (the joined or the hyphenated form is known) are settled by rule. Paragraph boundaries are the cheapest set under a dynamic program over the
 gaps between lines.
 
 Scale: pages are grouped by item in blocks of ``BLOCK_PAGES`` with one page of
@@ -21,6 +23,7 @@ with null item_id or ordinal are no pages; chunks of other kinds are left alone.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -58,14 +61,14 @@ _EDGE = "\"'“”‘’()[]{}.,;:?!…"
 # Costs of the decoder, in about the negative log of their odds.
 MISREAD, SPLIT, RUN_TOGETHER, CUT, BREAK, UNKNOWN, UNKNOWN_CHAR = 2.0, 2.5, 3.0, 0.3, 3.5, 5.0, 0.4
 MOST = 9.0
+#: Known tokens on either side of an unknown one that are decoded with it.
+CONTEXT = 3
 
 
 class Words:
     """Known words as a trie, with the cost of each."""
 
     def __init__(self, counts: dict[str, int]) -> None:
-        import math
-
         total = sum(counts.values()) or 1
         self.counts = counts
         self.common = frozenset(sorted(counts, key=lambda w: (-counts[w], w))[:30]) - {"of"}
@@ -75,8 +78,12 @@ class Words:
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = 0.12 * -math.log(n / total)
+        self.rarest = 0.12 * -math.log(1 / total)
         self._found: dict[str, tuple[str, tuple[int, ...]] | None] = {}
 
+    def cost(self, n: int) -> float:
+        return self.rarest - 0.12 * math.log(n)
+
     def known(self, word: str) -> bool:
         w = word.lower().replace("’", "'")
         if w in self.counts:
@@ -125,9 +132,10 @@ class Words:
                             stack.append((at, i + len(seen), cost + MISREAD, word + true, (*bad, i)))
         return [(end, cost, word, bad) for (end, word), (cost, bad) in out.items()]
 
-    def decode(self, span: str) -> list[tuple[int, int, str, tuple[int, ...]]]:
+    def decode(self, span: str, copies: dict[int, list[tuple[int, float]]] | None = None) -> list[tuple[int, int, str, tuple[int, ...]]]:
         """(start, end, word or '' for a copy, misread positions): the cheapest
-        reading of a span of lower-case text with line feeds kept."""
+        reading of a span of lower-case text with line feeds kept. ``copies``: (end,
+        cost) of further copies from a position."""
         n = len(span)
         best = [(1e9, -1, "", ())] * (n + 1)
         best[0] = (0.0, -1, "", ())
@@ -135,6 +143,9 @@ class Words:
             if best[i][0] >= 1e9:
                 continue
             base = best[i][0]
+            for end, cost in copies.get(i, ()) if copies else ():
+                if base + cost < best[end][0]:
+                    best[end] = (base + cost, i, "", ())
             if not (span[i].isalnum() or span[i] in "@¢|!$ſ("):
                 if base < best[i + 1][0]:
                     best[i + 1] = (base, i, "", ())
@@ -305,6 +316,32 @@ def _tokens(line: str) -> list[tuple[int, str]]:
     return [(m.start(), m[0]) for m in re.finditer(r"\S+", line)]
 
 
+class _Token:
+    """A token of the stream: the lines it starts and ends in, its text, whether it is
+    read as it stands, and whether it is cut from the next token at a line end."""
+
+    __slots__ = ("line", "end_line", "text", "known", "joint")
+
+    def __init__(self, line: int, end_line: int, text: str, known: bool, joint: bool = False) -> None:
+        self.line, self.end_line, self.text, self.known, self.joint = line, end_line, text, known, joint
+
+
+def _settled(words: Words, t: str, nxt: str) -> tuple[str, bool] | None:
+    """(text, cut) of a token with a hyphen at its line's end and the next one, where
+    the words settle whether it is a cut."""
+    a, b = t[:-1], nxt
+    body = b.rstrip(_EDGE)
+    bare = a.lstrip(_EDGE)
+    core, kept = (bare + body).lower(), (bare + "-" + body).lower()
+    if re.fullmatch(r"[A-Z]{1,4}", bare) and re.match(r"[\dlOISB]+", body) and not body.isalpha():
+        return a + "-" + b, False
+    if kept in words.counts or (words.known(bare) and words.known(body) and core not in words.counts and t[-1] == "-" and len(body) > 2 and len(a) > 1):
+        return a + "-" + b, False
+    if words.known(core) or "-" in a and words.known(a.split("-", 1)[0]) and words.known(a.split("-", 1)[1] + body):
+        return a + b, True
+    return None
+
+
 def read_lines(lines: list[tuple[tuple[int, int], str]], words: Words) -> tuple[dict, dict, list[list[str]]]:
     """Of the text lines of an item in order: which are cut at their end, which are
     misread, and the repaired words of each line (a cut word goes with its start)."""
@@ -312,77 +349,108 @@ def read_lines(lines: list[tuple[tuple[int, int], str]], words: Words) -> tuple[
     misread: dict[tuple[int, int], bool] = {}
     fixed: list[list[str]] = [[] for _ in lines]
     toks = [[t for _, t in _tokens(t)] for _, t in lines]
+    stream: list[_Token] = []
     taken = [0] * len(lines)
-    for k, (key, _) in enumerate(lines):
-        i, row = taken[k], toks[k]
-        while i < len(row):
+    for k, row in enumerate(toks):
+        for i in range(taken[k], len(row)):
             t = row[i]
-            last = i == len(row) - 1
-            if last and len(t) > 1 and t[-1] in HYPHENS and k + 1 < len(lines) and toks[k + 1] and t[-2].isalnum():
-                a, b = t[:-1], toks[k + 1][0]
-                body = b.rstrip(_EDGE)
-                core = (a.lstrip(_EDGE) + body).lower()
-                kept = (a.lstrip(_EDGE) + "-" + body).lower()
-                if re.fullmatch(r"[A-Z]{1,4}", a.lstrip(_EDGE)) and re.match(r"[\dlOISB]+", body) and not body.isalpha():
-                    whole, is_cut, bad = None, False, ()
-                elif kept in words.counts or (words.known(a.lstrip(_EDGE)) and words.known(body) and core not in words.counts and t[-1] == "-" and len(body) > 2 and len(a) > 1):
-                    whole, is_cut, bad = None, False, ()
-                elif core in words.counts or words.known(core):
-                    whole, is_cut, bad = a + body, True, ()
-                elif "-" in a and words.known(a.split("-", 1)[0]) and words.known(a.split("-", 1)[1] + body):
-                    whole, is_cut, bad = a + body, True, ()
+            if i == len(row) - 1 and len(t) > 1 and t[-1] in HYPHENS and k + 1 < len(lines) and toks[k + 1] and t[-2].isalnum():
+                if got := _settled(words, t, toks[k + 1][0]):
+                    if got[1]:
+                        cut[lines[k][0]] = True
+                    stream.append(_Token(k, k + 1, got[0], True))
+                    taken[k + 1] = 1
                 else:
-                    got = words.decode(core)
-                    if len(got) == 1 and got[0][2]:
-                        whole, is_cut, bad = _cased(got[0][2], a), True, got[0][3]
-                    elif t[-1] == "-" and words.decode(kept) and all(g[2] or not kept[g[0] : g[1]].isalnum() for g in words.decode(kept)):
-                        got = words.decode(kept)
-                        whole, is_cut, bad = None, False, tuple(p for g in got for p in g[3])
-                    else:
-                        whole, is_cut, bad = a + body, True, ()
-                lead = len(a) - len(a.lstrip(_EDGE))
-                size = len(a) - lead
-                for p in bad:
-                    misread[key if p < size else lines[k + 1][0]] = True
-                if is_cut:
-                    cut[key] = True
-                    fixed[k].append(whole + b[len(body) :])
-                else:
-                    fixed[k].append(t[:-1] + "-" + b if t[-1] in HYPHENS else t + b)
-                taken[k + 1] = 1
-                i += 1
+                    stream.append(_Token(k, k, t, False, True))
                 continue
             core = t.strip(_EDGE)
-            if not core or words.known(core) or _PART.fullmatch(core) or _PLAIN.fullmatch(core) or not any(c.isalnum() for c in core):
-                fixed[k].append(t)
-                i += 1
-                continue
-            # a span of unknown tokens, decoded jointly
-            j = i + 1
-            while j < len(row) and j < i + 24 and not (row[j][-1] in HYPHENS and j == len(row) - 1):
-                c = row[j].strip(_EDGE)
-                if len(c) > 1 and (words.known(c) or _PART.fullmatch(c) or _PLAIN.fullmatch(c)) or len(c) > 3:
-                    break
-                if len(core) > 1 and len(c) > 1 and words.known(c):
-                    break
-                j += 1
-            if len(core) > 3 or j == i + 1:
-                j = i + 1
-            span = " ".join(row[i:j]).lower()
-            got = words.decode(span)
-            text, at = "", 0
-            for a, b, word, bad in got:
-                seen = " ".join(row[i:j])[a:b]
-                text += _cased(word, seen) if word else seen
-                if bad:
-                    misread[key] = True
-            if not any(g[2] for g in got) and re.search(r"[@¢|!$ſ]|(?<=[a-z])\d|\d(?=[a-z]{2})", core):
-                misread[key] = True
-            fixed[k] += text.split() or [t]
-            i = j
+            known = not core or words.known(core) or _PART.fullmatch(core) or _PLAIN.fullmatch(core) or not any(c.isalnum() for c in core)
+            stream.append(_Token(k, k, t, bool(known)))
+    near = [False] * len(stream)
+    for i, t in enumerate(stream):
+        if not t.known:
+            near[max(0, i - CONTEXT) : i + CONTEXT + 1 + t.joint] = [True] * (min(len(stream), i + CONTEXT + 1 + t.joint) - max(0, i - CONTEXT))
+    i = 0
+    while i < len(stream):
+        if not near[i]:
+            fixed[stream[i].line].append(stream[i].text)
+            i += 1
+            continue
+        j = i
+        while j < len(stream) and near[j]:
+            j += 1
+        _read_window(stream[i:j], [k for k, _ in lines], words, cut, misread, fixed)
+        i = j
     return cut, misread, fixed
 
 
+def _read_window(window: list[_Token], keys: list, words: Words, cut: dict, misread: dict, fixed: list[list[str]]) -> None:
+    """Decode a window of the stream and enter what is found in it."""
+    text, starts = "", []
+    for i, t in enumerate(window):
+        if i:
+            text += " " if window[i - 1].end_line == t.line else "\n"
+        starts.append(len(text))
+        text += t.text
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    copies: dict[int, list[tuple[int, float]]] = defaultdict(list)
+    whole: set[tuple[int, int]] = set()
+    joints: set[int] = set()
+    owner: list[int] = []
+    for i, (t, at) in enumerate(zip(window, starts)):
+        owner += [i] * (len(t.text) + 1)
+        if t.known:
+            core = t.text.strip(_EDGE).lower().replace("’", "'")
+            n = words.counts.get(core)
+            copies[at].append((at + len(t.text), words.cost(n) if n else 0.0 if not any(c.isalpha() for c in core) else words.rarest))
+        elif t.joint and i + 1 < len(window):
+            # an unknown word that is cut
+            b = window[i + 1].text.rstrip(_EDGE) or window[i + 1].text
+            end = starts[i + 1] + len(b)
+            copies[at].append((end, UNKNOWN + UNKNOWN_CHAR * (len(t.text) - 1 + len(b)) + CUT))
+            whole.add((at, end))
+            joints.add(starts[i + 1] - 1)
+    line, later = window[0].line, window[0].line
+    out = ""
+    read: set[int] = set()
+
+    def put() -> None:
+        nonlocal out
+        if out:
+            fixed[line].append(out)
+        out = ""
+
+    for a, b, word, bad in words.decode(low, copies):
+        seen = text[a:b]
+        if word or (a, b) in whole:
+            if word:
+                read.update(owner[a:b])
+            inner = [p for p in range(a, b) if text[p] == "\n"]
+            for p in inner:
+                if text[p - 1] in HYPHENS:
+                    cut[keys[window[owner[p]].end_line]] = True
+            for p in bad:
+                misread[keys[window[owner[p]].line]] = True
+            out += _cased(word, seen) if word else re.sub(f"[{re.escape(HYPHENS)}]\n", "", seen)
+            if inner:
+                later = window[owner[b - 1]].line
+            continue
+        for p in range(a, b):
+            if p in joints:  # a compound, with its hyphen
+                later = window[owner[p + 1]].line
+                if out and out[-1] in HYPHENS:
+                    out = out[:-1] + "-"
+            elif text[p] in " \n":
+                put()
+                line = later = window[owner[p + 1]].line if text[p] == "\n" else max(later, window[owner[p]].end_line)
+            else:
+                out += text[p]
+    put()
+    for i, t in enumerate(window):
+        if not t.known and i not in read and re.search(r"[@¢|!$ſ]|(?<=[a-z])\d|\d(?=[a-z]{2})", t.text.strip(_EDGE)):
+            misread[keys[t.line]] = True
+
+
 def _cased(word: str, seen: str) -> str:
     letters = [c for c in seen if c.isalpha()]
     if len(letters) > 1 and all(c.isupper() for c in letters):

@@ -139,6 +139,22 @@ def test_scan_repair():
     assert "governor must be drained after" in text and "BML-5359" in text and "low-pressure line is kept in the reading room" in text
 
 
+def test_scan_splits_are_decoded_with_their_neighbours():
+    words = scans.Words({w: 50 for w in "the governor must be drained after every long haul in read reading room item kept rep a is line supersedes".split()})
+    read = lambda *t: scans.read_lines([((1, k), x) for k, x in enumerate(t)], words)
+    # first piece a known word; first piece long; pieces on two lines; split and cut; split, misread and cut
+    assert read("the read ing room")[2] == [["the", "reading", "room"]]
+    assert read("the super sedes, line")[2] == [["the", "supersedes,", "line"]]
+    assert read("the gover", "nor must")[2] == [["the", "governor"], ["must"]]
+    cut, misread, fixed = read("the gov er-", "nor, must")
+    assert fixed == [["the", "governor,"], ["must"]] and cut == {(1, 0): True} and not misread
+    cut, misread, fixed = read("the gov er-", "n0r must be")
+    assert fixed == [["the", "governor"], ["must", "be"]] and cut and misread == {(1, 1): True}
+    # what is known stays
+    assert read("the long haul is in", "the room")[2] == [["the", "long", "haul", "is", "in"], ["the", "room"]]
+    assert read("a zyxqwv-", "kjhgf. The")[2] == [["a", "zyxqwvkjhgf."], ["The"]]
+
+
 def test_scan_tables_with_odd_rows(spark):
     schema = "item_id string, ordinal int, body string, location struct<kind: string>, loaded_at timestamp"
     df = spark.createDataFrame([("a", 0, None, ("page",), None), ("a", 1, "", ("page",), None), ("b", None, "x", ("page",), None), (None, 0, "x", ("page",), None), ("c", 0, "x", ("lines",), None), ("d", 0, "x", None, None)], schema)
