@@ -132,10 +132,11 @@ class Words:
                             stack.append((at, i + len(seen), cost + MISREAD, word + true, (*bad, i)))
         return [(end, cost, word, bad) for (end, word), (cost, bad) in out.items()]
 
-    def decode(self, span: str, copies: dict[int, list[tuple[int, float]]] | None = None) -> list[tuple[int, int, str, tuple[int, ...]]]:
+    def decode(self, span: str, copies: dict[int, list[tuple[int, float]]] | None = None, bars: frozenset[int] = frozenset()) -> list[tuple[int, int, str, tuple[int, ...]]]:
         """(start, end, word or '' for a copy, misread positions): the cheapest
         reading of a span of lower-case text with line feeds kept. ``copies``: (end,
-        cost) of further copies from a position."""
+        cost) of further copies from a position; ``bars``: what is within a word or
+        such a copy."""
         n = len(span)
         best = [(1e9, -1, "", ())] * (n + 1)
         best[0] = (0.0, -1, "", ())
@@ -146,6 +147,8 @@ class Words:
             for end, cost in copies.get(i, ()) if copies else ():
                 if base + cost < best[end][0]:
                     best[end] = (base + cost, i, "", ())
+            if i in bars:
+                continue
             if not (span[i].isalnum() or span[i] in "@¢|!$ſ("):
                 if base < best[i + 1][0]:
                     best[i + 1] = (base, i, "", ())
@@ -396,6 +399,7 @@ def _read_window(window: list[_Token], keys: list, words: Words, cut: dict, misr
     copies: dict[int, list[tuple[int, float]]] = defaultdict(list)
     whole: set[tuple[int, int]] = set()
     joints: set[int] = set()
+    bars: set[int] = set()
     owner: list[int] = []
     for i, (t, at) in enumerate(zip(window, starts)):
         owner += [i] * (len(t.text) + 1)
@@ -410,6 +414,8 @@ def _read_window(window: list[_Token], keys: list, words: Words, cut: dict, misr
             copies[at].append((end, UNKNOWN + UNKNOWN_CHAR * (len(t.text) - 1 + len(b)) + CUT))
             whole.add((at, end))
             joints.add(starts[i + 1] - 1)
+            if t.text[-1] != "-":  # no hyphen of a compound
+                bars.add(starts[i + 1] - 1)
     line, later = window[0].line, window[0].line
     out = ""
     read: set[int] = set()
@@ -420,7 +426,7 @@ def _read_window(window: list[_Token], keys: list, words: Words, cut: dict, misr
             fixed[line].append(out)
         out = ""
 
-    for a, b, word, bad in words.decode(low, copies):
+    for a, b, word, bad in words.decode(low, copies, frozenset(bars)):
         seen = text[a:b]
         if word or (a, b) in whole:
             if word:

@@ -150,6 +150,7 @@ def test_scan_splits_are_decoded_with_their_neighbours():
     assert fixed == [["the", "governor,"], ["must"]] and cut == {(1, 0): True} and not misread
     cut, misread, fixed = read("the gov er-", "n0r must be")
     assert fixed == [["the", "governor"], ["must", "be"]] and cut and misread == {(1, 1): True}
+    assert read("is the\u00ac", "zzq must")[0] == {(1, 0): True}
     # what is known stays
     assert read("the long haul is in", "the room")[2] == [["the", "long", "haul", "is", "in"], ["the", "room"]]
     assert read("a zyxqwv-", "kjhgf. The")[2] == [["a", "zyxqwvkjhgf."], ["The"]]
