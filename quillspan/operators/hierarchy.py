@@ -16,7 +16,8 @@ adaptive skew join.
 Defined results: null and blank keys are no records; blank references are none; a
 reference to no record gives no link; of repeated records the first delivery
 counts; if several records name one item as their successor the smallest key is the
-parent; records without links give no row; an empty table gives none.
+parent; records without links give no row; an empty table gives none. The members of
+one cycle are one row of :func:`cycles` (a cycle is as long as its contradiction).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.keys import norm_key
-from quillspan.session import cut
+from quillspan.session import cut, drop_cut
 
 #: Largest component walked in one task: about 100 bytes a node.
 WALK_LIMIT = 1_000_000
@@ -61,15 +62,16 @@ def parent_links(
     return said.unionByName(told)
 
 
-def components(kids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((node, parent, comp, loops) of every node with a parent, nodes on cycles).
+def components(kids: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """((node, parent, comp, loops) of every node with a parent, nodes on cycles, the cuts
+    these are read from).
 
     comp is the root, or for a component with a cycle the smallest node on it.
     """
     state = cut(
         kids.select("node", "parent", F.col("parent").alias("ptr"), F.least("node", "parent").alias("low"), F.lit(False).alias("done"))
     )
-    reach, finished, before = 1, None, -1
+    reach, finished, before, steps = 1, None, -1, [state]
     while True:
         t = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("t_ptr"), F.col("low").alias("t_low"), F.col("done").alias("t_done"))
         if finished is not None:
@@ -85,6 +87,7 @@ def components(kids: DataFrame) -> tuple[DataFrame, DataFrame]:
                 (F.col("t_ptr").isNull() | F.col("t_done")).alias("done"),
             )
         )
+        steps.append(step)
         ended = step.filter("done").select("node", "parent", "ptr")
         finished = ended if finished is None else finished.unionByName(ended)
         state = step.filter("not done")
@@ -99,7 +102,7 @@ def components(kids: DataFrame) -> tuple[DataFrame, DataFrame]:
     ring_low = state.join(rings, "node", "left_semi").select(F.col("node").alias("ptr"), F.col("low").alias("comp"))
     looped = state.join(ring_low, "ptr").select("node", "parent", "comp", F.lit(True).alias("loops"))
     trees = finished.select("node", "parent", F.col("ptr").alias("comp"), F.lit(False).alias("loops"))
-    return trees.unionByName(looped), rings
+    return trees.unionByName(looped), rings, steps
 
 
 def walk(node: np.ndarray, parent: np.ndarray, paths: bool = False) -> dict[str, list]:
@@ -117,14 +120,14 @@ def walk(node: np.ndarray, parent: np.ndarray, paths: bool = False) -> dict[str,
     white, grey, black = 0, 1, 2
     colour = np.zeros(n, np.int8)
     depth, below, top, kind = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int8)
-    trail: list[str | None] = [None] * n
+    trail: list[list[str] | None] = [None] * n
 
     def descend(start: int, sort: int, ring: frozenset[int] = frozenset()) -> None:
         stack = [(start, first[start])]
         colour[start] = grey
         kind[start] = sort
         if paths:
-            trail[start] = node[start]
+            trail[start] = [node[start]]
         while stack:
             v, at = stack[-1]
             if at < last[v]:
@@ -135,7 +138,7 @@ def walk(node: np.ndarray, parent: np.ndarray, paths: bool = False) -> dict[str,
                 colour[w] = grey
                 depth[w], top[w], kind[w] = depth[v] + 1, top[v], 2 if sort else 0
                 if paths:
-                    trail[w] = f"{trail[v]}/{node[w]}"
+                    trail[w] = [*trail[v], node[w]]
                 stack.append((w, first[w]))
             else:
                 colour[v] = black
@@ -199,13 +202,13 @@ def _doubled(nodes: DataFrame, rings: DataFrame, paths: bool) -> DataFrame:
             F.when(~F.col("ring"), F.col("parent")).alias("ptr"),
             F.when(F.col("ring") | F.col("parent").isNull(), 0).otherwise(1).alias("depth"),
             F.lit(1).cast("long").alias("val"),
-            F.when(F.lit(paths), F.col("node")).alias("path"),
+            F.when(F.lit(paths), F.array("node")).alias("path"),
         )
     )
     while state.filter("ptr is not null").limit(1).count():
         sums = state.filter("ptr is not null").groupBy(F.col("ptr").alias("node")).agg(F.sum("val").alias("more"))
         t = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("t_ptr"), F.col("depth").alias("t_depth"), F.col("path").alias("t_path"))
-        state = cut(
+        last, state = state, cut(
             state.join(sums, "node", "left")
             .join(t, "ptr", "left")
             .select(
@@ -216,9 +219,10 @@ def _doubled(nodes: DataFrame, rings: DataFrame, paths: bool) -> DataFrame:
                 F.col("t_ptr").alias("ptr"),
                 (F.col("depth") + F.coalesce("t_depth", F.lit(0))).alias("depth"),
                 (F.col("val") + F.coalesce("more", F.lit(0))).alias("val"),
-                F.when(F.col("ptr").isNull(), F.col("path")).otherwise(F.concat_ws("/", "t_path", "path")).alias("path"),
+                F.when(F.col("ptr").isNull() | F.lit(not paths), F.col("path")).otherwise(F.concat("t_path", "path")).alias("path"),
             )
         )
+        drop_cut(last)
     total = state.filter("loops").groupBy("comp").agg(F.count("*").alias("total"))
     out = state.join(total, "comp", "left").select(
         F.col("node").alias("item_id"),
@@ -234,20 +238,24 @@ def _doubled(nodes: DataFrame, rings: DataFrame, paths: bool) -> DataFrame:
 def hierarchy(links: DataFrame, paths: bool = False, walk_limit: int = WALK_LIMIT, buckets: int | None = None) -> DataFrame:
     """(item_id, root_item_id, depth, n_descendants, kind[, path]) of linked nodes.
 
-    On a cycle the path is the node alone; below one it starts at the cycle's node.
+    The path is an array from the root on. On a cycle it is the node alone; below one it
+    starts at the cycle's node.
     """
     spark = links.sparkSession
     kids = cut(links)
-    comps, rings = components(kids)
+    comps, rings, steps = components(kids)
     roots = (
         comps.filter("not loops")
         .select(F.col("comp").alias("node"), F.lit(None).cast("string").alias("parent"), "comp", "loops")
         .distinct()
     )
     nodes = cut(comps.unionByName(roots))
+    rings = cut(rings)
+    for done in (kids, *steps):
+        drop_cut(done)
     big = nodes.groupBy("comp").count().filter(F.col("count") > walk_limit).select("comp")
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = SCHEMA + (", path string" if paths else "")
+    schema = SCHEMA + (", path array<string>" if paths else "")
     run = _walk_bucket(paths)
     if big.limit(1).count() == 0:
         small, large = nodes, None
@@ -255,3 +263,26 @@ def hierarchy(links: DataFrame, paths: bool = False, walk_limit: int = WALK_LIMI
         small, large = nodes.join(big, "comp", "left_anti"), nodes.join(big, "comp", "left_semi")
     walked = small.groupBy(F.pmod(F.xxhash64("comp"), F.lit(n)).alias("bucket")).applyInPandas(run, schema)
     return walked if large is None else walked.unionByName(_doubled(cut(large), rings, paths))
+
+
+def descendants(links: DataFrame, walk_limit: int = WALK_LIMIT) -> DataFrame:
+    """(item_id, descendant_id): each node with every other one reachable downwards."""
+    found = hierarchy(links, paths=True, walk_limit=walk_limit)
+    # on a path all but the node itself are above it; the first of a looped one stands
+    # for its whole cycle
+    tree = F.col("kind") == "tree"
+    above = F.when(tree, F.slice("path", 1, F.size("path") - 1)).otherwise(F.slice("path", 2, F.greatest(F.size("path") - 2, F.lit(0))))
+    lines = found.select(F.explode(above).alias("item_id"), F.col("item_id").alias("descendant_id"))
+    looped = found.filter(~tree).select("root_item_id", F.col("item_id").alias("descendant_id"))
+    ring = found.filter("kind = 'cycle'").select("root_item_id", "item_id")
+    around = ring.join(looped, "root_item_id").filter("item_id <> descendant_id").select("item_id", "descendant_id")
+    return lines.unionByName(around)
+
+
+def cycles(links: DataFrame) -> DataFrame:
+    """(root_item_id, back_edge_from, n_members, members): each cycle once, with the edge
+    that closes a descent from its smallest member, and its members in order."""
+    found = hierarchy(links).filter("kind = 'cycle'")
+    rows = found.groupBy("root_item_id").agg(F.count("*").cast("int").alias("n_members"), F.sort_array(F.collect_list("item_id")).alias("members"))
+    back = links.select(F.col("node").alias("root_item_id"), F.col("parent").alias("back_edge_from"))
+    return rows.join(back, "root_item_id").select("root_item_id", "back_edge_from", "n_members", "members")

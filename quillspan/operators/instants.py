@@ -12,7 +12,7 @@ small table of zones (left to the optimiser's own size check).
 Defined results: null, blank and unreadable values, impossible dates and times and
 values without a full date give null (no row in :func:`record_instants`). A repeated
 hour is its first run; a time in a skipped hour moves forward by the gap. Unknown or
-null zone names mean UTC. Digits finer than a microsecond are dropped.
+null zone names mean UTC. Of a record delivered again the first delivery counts. Digits finer than a microsecond are dropped.
 """
 
 from __future__ import annotations
@@ -213,13 +213,18 @@ def parse_instants(values: Sequence[str | None], zones: Sequence[str | None]) ->
 
 
 @F.pandas_udf(LongType())
-def epoch_us(value: pd.Series, zone: pd.Series) -> pd.Series:
+def _epoch_us(value: pd.Series, zone: pd.Series) -> pd.Series:
     """Microseconds since 1970-01-01 UTC of a written time read on a zone's clock."""
     none = lambda x: None if x is None or x is pd.NA or x != x else x
     us, ok = parse_instants([none(v) for v in value], [none(z) for z in zone])
     return pd.Series(us, dtype="Int64").mask(~ok)
 
 
+#: A filter on a deterministic function would be pushed below the projection and read
+#: every value twice.
+epoch_us = _epoch_us.asNondeterministic()
+
+
 @dataclass(frozen=True)
 class Times:
     """Time fields of one table. ``clock`` is the column naming the source, or,
@@ -232,6 +237,7 @@ class Times:
     clock: str
     clock_of: DataFrame | None = None
     clock_key: str = "item_id"
+    delivered: str = "loaded_at"
 
 
 def record_instants(tables: Sequence[Times], zones: DataFrame) -> DataFrame:
@@ -245,9 +251,11 @@ def record_instants(tables: Sequence[Times], zones: DataFrame) -> DataFrame:
             F.col(t.key).cast("string").alias("record_key"),
             *[F.col(f).cast("string").alias(f) for f in t.fields],
             *([norm_key(t.clock).alias("clock")] if t.clock_of is None else []),
+            (F.col(t.delivered) if t.delivered in t.rows.columns else F.lit(None).cast("timestamp")).alias("at"),
         )
-        first = [c for c in rows.columns if c != "record_key"]
-        rows = rows.groupBy("record_key").agg(F.max(F.struct(*first)).alias("r")).select("record_key", "r.*")
+        first = [c for c in rows.columns if c not in ("record_key", "at")]
+        earliest = F.struct(F.col("at").isNull().alias("late"), "at", *first)
+        rows = rows.groupBy("record_key").agg(F.min(earliest).alias("r")).select("record_key", *[f"r.{c}" for c in first])
         if t.clock_of is not None:
             clocks = (
                 t.clock_of.select(norm_key(t.clock_key).alias("k"), norm_key(t.clock).alias("clock"))

@@ -1,7 +1,8 @@
 """References to records that do not exist (problem 2).
 
-The distinct references are anti-joined against the parents' keys; what remains
-is joined back to the referring records. Counting per table and month is a plain
+The distinct references are anti-joined against the parents' keys, which leaves the
+missing and deleted ones; an inner join with the later parents gives the late ones.
+What remains is joined back to the referring records. Counting per table and month is a plain
 aggregate over that.
 
 Scale: both sides of every join are pre-aggregated to one row per key, so a key
@@ -73,7 +74,7 @@ def orphan_references(links: Sequence[Link], removals: DataFrame, salts: int = 1
             )
             .filter(F.col("ref").isNotNull())
             .groupBy("parent_table", "ref")
-            .agg(F.min("at").alias("parent_first"), F.lit(True).alias("present"))
+            .agg(F.min("at").alias("parent_first"))
         )
         parents = part if parents is None else parents.unionByName(part)
 
@@ -83,23 +84,21 @@ def orphan_references(links: Sequence[Link], removals: DataFrame, salts: int = 1
         .distinct()
         .withColumn("removed", F.lit(True))
     )
-    suspects = (
-        kids.groupBy("parent_table", "ref")
-        .agg(F.min("first_at").alias("min_first"))
-        .join(parents, ["parent_table", "ref"], "left")
-        .filter(F.col("present").isNull() | (F.col("parent_first") > F.col("min_first")))
-        .join(gone, ["parent_table", "ref"], "left")
-        .select(
-            "parent_table",
-            "ref",
-            F.col("present").isNotNull().alias("present"),
-            "parent_first",
-            F.col("removed").isNotNull().alias("removed"),
-            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-        )
+    keys = ["parent_table", "ref"]
+    refs = kids.groupBy(*keys).agg(F.min("first_at").alias("min_first"))
+    absent = (
+        refs.join(parents.select(*keys), keys, "left_anti")
+        .join(gone, keys, "left")
+        .select(*keys, F.lit(None).cast(dict(parents.dtypes)["parent_first"]).alias("parent_first"), F.col("removed").isNotNull().alias("removed"))
+    )
+    late = (
+        refs.join(parents, keys)
+        .filter(F.col("parent_first") > F.col("min_first"))
+        .select(*keys, "parent_first", F.lit(None).cast("boolean").alias("removed"))
     )
+    suspects = absent.unionByName(late).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     status = (
-        F.when(F.col("present"), F.when(F.col("parent_first") > F.col("first_at"), F.lit("late")))
+        F.when(F.col("removed").isNull(), F.when(F.col("parent_first") > F.col("first_at"), F.lit("late")))
         .when(F.col("removed"), F.lit("deleted"))
         .otherwise(F.lit("missing"))
     )

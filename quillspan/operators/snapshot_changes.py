@@ -1,6 +1,6 @@
 """What changed between consecutive full snapshots (problem 6).
 
-Each row is reduced to a compact key (two 64-bit hashes) and one row hash. Rows
+Each row is reduced to a compact key (two 64-bit hashes of different seeds) and one row hash. Rows
 are hash-bucketed by key; inside a bucket the arrays are sorted in numpy and
 ``searchsorted`` finds, per delivered pair of snapshots, the keys added, removed
 and changed. Only differing keys are joined back to the table for their values.
@@ -20,7 +20,7 @@ changes; an empty table has none at all. Columns not named are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.keys import strip
+from quillspan.session import cut
 
 #: Most snapshots compared in one run: their numbers are a list of this length.
 MAX_SNAPSHOTS = 1 << 20
@@ -125,7 +126,7 @@ def differing_keys(
     compact = rows.select(
         "snapshot_no",
         F.xxhash64("item_id").alias("k1"),
-        F.xxhash64("item_id", F.lit(1)).alias("k2"),
+        F.xxhash64(F.lit(1), "item_id").alias("k2"),
         F.xxhash64(*values).alias("h"),
     )
     return (
@@ -142,11 +143,15 @@ def snapshot_changes(
     """(snapshot_no, item_id, change_kind) from each snapshot to the next delivered."""
     numbers = snapshot_numbers(rows)
     rows = normal_rows(rows, values=values)
-    diff = differing_keys(rows, values, numbers, buckets)
+    return _named(rows, differing_keys(rows, values, numbers, buckets))
+
+
+def _named(rows: DataFrame, diff: DataFrame) -> DataFrame:
+    """The differing keys with their names and kinds."""
     names = (
         rows.select("item_id")
         .distinct()
-        .select("item_id", F.xxhash64("item_id").alias("k1"), F.xxhash64("item_id", F.lit(1)).alias("k2"))
+        .select("item_id", F.xxhash64("item_id").alias("k1"), F.xxhash64(F.lit(1), "item_id").alias("k2"))
     )
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind").cast("int") + 1)
     return diff.join(names, ["k1", "k2"]).select("snapshot_no", "item_id", kind.alias("change_kind"))
@@ -155,9 +160,10 @@ def snapshot_changes(
 def change_values(rows: DataFrame, values: Sequence[str] = ("sha256", "lifecycle_state", "candidate_id")) -> DataFrame:
     """Old and new values of the differing keys, fetched only for these."""
     spark = rows.sparkSession
-    normal = normal_rows(rows, values=values)
-    found = snapshot_changes(rows, values)
-    numbers = snapshot_numbers(rows).tolist()
+    normal = cut(normal_rows(rows, values=values), "snapshot-rows")
+    numbers = snapshot_numbers(normal)
+    found = _named(normal, differing_keys(normal, values, numbers))
+    numbers = numbers.tolist()
     pairs = spark.createDataFrame(list(zip(numbers[1:], numbers[:-1])), "snapshot_no int, before_no int")
     at = found.join(pairs, "snapshot_no")
     new = normal.select("snapshot_no", "item_id", *[F.col(v).alias(f"new_{v}") for v in values])

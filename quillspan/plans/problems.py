@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspan.operators import hierarchy as hier
 from quillspan.operators import instants, references, snapshot_changes
@@ -47,11 +48,21 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p7_paths(spark: SparkSession, base: str) -> DataFrame:
-    return hier.hierarchy(hier.parent_links(table(spark, base, "items")), paths=True).select("item_id", "root_item_id", "path")
+    found = hier.hierarchy(hier.parent_links(table(spark, base, "items")), paths=True)
+    return found.select("item_id", "root_item_id", F.array_join("path", "/").alias("path"))
+
+
+def p7_descendants(spark: SparkSession, base: str) -> DataFrame:
+    return hier.descendants(hier.parent_links(table(spark, base, "items")))
+
+
+def p7_cycles(spark: SparkSession, base: str) -> DataFrame:
+    found = hier.cycles(hier.parent_links(table(spark, base, "items")))
+    return found.withColumn("members", F.array_join("members", ","))
 
 
 def queries():
-    return {f.__name__: f for f in (p2_found, p2_counts, p5_found, p6_found, p6_values, p7_found, p7_paths)}
+    return {f.__name__: f for f in (p2_found, p2_counts, p5_found, p6_found, p6_values, p7_found, p7_paths, p7_descendants, p7_cycles)}
 
 
 _NK = r"nullif(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '')"
@@ -141,4 +152,15 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": _P6 + "SELECT snapshot_no, item_id, change_kind FROM d",
         "p6_values": _P6 + "SELECT * FROM d",
         "p7_found": _P7 + "SELECT * FROM found",
+        "p7_paths": _P7
+        + """, line(node, head, path) AS (
+  SELECT node, parent, parent || '/' || node FROM e WHERE node NOT IN (SELECT node FROM ring)
+  UNION ALL SELECT line.node, e.parent, e.parent || '/' || line.path FROM line JOIN e ON e.node = line.head
+  WHERE line.head NOT IN (SELECT node FROM ring)),
+long AS (SELECT node, arg_max(path, length(path)) AS path FROM line GROUP BY 1)
+SELECT f.item_id, f.root_item_id, coalesce(l.path, f.item_id) AS path FROM found f LEFT JOIN long l ON l.node = f.item_id""",
+        "p7_descendants": _P7 + "SELECT a AS item_id, node AS descendant_id FROM pairs WHERE a <> node",
+        "p7_cycles": _P7
+        + """SELECT root_item_id, min(e.parent) AS back_edge_from, CAST(count(*) AS INTEGER) AS n_members, string_agg(item_id, ',' ORDER BY item_id) AS members
+FROM found LEFT JOIN e ON e.node = found.item_id AND found.item_id = found.root_item_id WHERE kind = 'cycle' GROUP BY 1""",
     }

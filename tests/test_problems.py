@@ -56,6 +56,17 @@ def test_instants_of_empty_tables(spark):
     rows = spark.createDataFrame([], "item_id string, source string, t string, clock string")
     zones = spark.createDataFrame([], "source string, zone_name string")
     assert record_instants([Times("x", rows, "item_id", ("t",), "source")], zones).count() == 0
+    again = spark.createDataFrame([("a", "s", "2020-01-02", at(3)), ("a", "s", "2020-01-01", at(1)), ("a", "s", "2020-01-03", None)], "item_id string, source string, t string, loaded_at timestamp_ntz")
+    found = record_instants([Times("x", again, "item_id", ("t",), "source")], zones)
+    assert [r.epoch_us for r in found.collect()] == [us(2020, 1, 1)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_the_two_key_hashes_are_independent(spark):
+    from pyspark.sql import functions as F
+
+    same = spark.range(2).select(F.xxhash64("id").alias("a"), F.xxhash64(F.lit(1), "id").alias("b"), F.xxhash64("id", F.lit(1)).alias("chained"))
+    assert all(r.b != r.chained for r in same.collect())
 
 
 def rows_of(df):
@@ -146,7 +157,14 @@ def test_hierarchy(spark, limit):
     got = hierarchy.hierarchy(df, walk_limit=limit, buckets=3)
     assert rows_of(got) == tree_brute(links)
     paths = {r.item_id: r.path for r in hierarchy.hierarchy(df, paths=True, walk_limit=limit).collect()}
-    assert paths["hub001"] == "hub/hub001" and paths["L38"] == "L40/L39/L38" and paths["t2"] == "c2/t1/t2"
+    assert paths["hub001"] == ["hub", "hub001"] and paths["L38"] == ["L40", "L39", "L38"] and paths["t2"] == ["c2", "t1", "t2"]
+    below = rows_of(hierarchy.descendants(df, walk_limit=limit))
+    n_below = {}
+    for a, _ in below:
+        n_below[a] = n_below.get(a, 0) + 1
+    assert len(below) == len(set(below)) and {r[0]: r[3] for r in tree_brute(links) if r[3]} == n_below
+    assert {("c1", "t2"), ("c1", "c2"), ("t1", "t2"), ("s", "u"), ("L40", "L00")} <= set(below)
+    assert rows_of(hierarchy.cycles(df)) == [("c1", "c2", 3, ["c1", "c2", "c3"]), ("s", "s", 1, ["s"])]
 
 
 def test_parent_links(spark):
