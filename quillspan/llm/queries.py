@@ -35,8 +35,8 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return history.duplicates()
 
 
-def p8_ids(spark: SparkSession, base: str) -> DataFrame:
-    return bpe.encode_column(table(spark, base, "documents"))
+def p8_ids(spark: SparkSession, base: str, vocabulary: str | None = None) -> DataFrame:
+    return bpe.encode_column(table(spark, base, "documents"), vocabulary)
 
 
 def p8_decoded(spark: SparkSession, base: str) -> DataFrame:
@@ -48,15 +48,20 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p9_clean(spark: SparkSession, base: str) -> DataFrame:
-    return leaks.without_leaks(table(spark, base, "documents").select("doc_id", "source"), p9_found(spark, base))
+    """Every document, with the stretches that give items away taken out."""
+    return leaks.without_spans(table(spark, base, "documents"), table(spark, base, "eval_items"))
+
+
+def p9_spans(spark: SparkSession, base: str) -> DataFrame:
+    return leaks.leaked_spans(table(spark, base, "documents"), table(spark, base, "eval_items"))
 
 
 def p9_report(spark: SparkSession, base: str) -> DataFrame:
     return leaks.leak_report(p9_found(spark, base))
 
 
-def p10_pieces(spark: SparkSession, base: str) -> DataFrame:
-    return splitting.split_column(table(spark, base, "documents"))
+def p10_pieces(spark: SparkSession, base: str, vocabulary: str | None = None) -> DataFrame:
+    return splitting.split_column(table(spark, base, "documents"), vocabulary)
 
 
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
@@ -64,7 +69,7 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries():
-    named = (p1_found, p1_text, p3_found, p3_text, p4_found, p8_ids, p8_decoded, p9_found, p9_clean, p9_report, p10_found, p10_pieces)
+    named = (p1_found, p1_text, p3_found, p3_text, p4_found, p8_ids, p8_decoded, p9_found, p9_clean, p9_spans, p9_report, p10_found, p10_pieces)
     return {f.__name__: f for f in named}
 
 

@@ -1,11 +1,11 @@
 """Splitting oversized texts at natural boundaries (problem 10).
 
-A text's structure (headings by level, form feeds, blocks, list items, lines,
-sentences, clauses, words) is parsed into levelled boundaries: the nodes between
-boundaries of one level are siblings, deeper levels their subtrees. Siblings are
-merged up to the limit and only an oversized node is descended into, so a piece
-ends at the highest boundary that fits. Each piece starts ``overlap`` tokens before
-the end of the one before.
+A text's structure (form feeds, headings by level, blocks, list items, lines,
+sentences, clauses, words) is parsed into a tree: the nodes between boundaries of one
+level are siblings, deeper levels their subtrees. The tree is packed bottom-up: a node
+that fits is one unit, an oversized one is descended into and gives the units its
+children were merged to, and sibling units are merged up to the limit. Each piece
+starts ``overlap`` tokens before the end of the one before.
 
 Scale: one narrow pass; whether a text can be too long is first asked of its byte
 length, in the scan, as a text has at most as many tokens as bytes.
@@ -14,7 +14,8 @@ Defined results: texts of at most ``limit`` tokens, null and empty ones give no
 row. Pieces are cut between characters; a piece never has more than ``limit``
 tokens, counted in the whole text or by itself; consecutive pieces share
 ``overlap`` tokens (up to three more where the overlap would start inside a
-character). Null ids are kept as they are.
+character; fewer only where one token with its overlap is over the limit by itself).
+Null ids are kept as they are.
 """
 
 from __future__ import annotations
@@ -94,43 +95,46 @@ def token_levels(text: str, bpe: ByteBpe, ids: np.ndarray) -> tuple[np.ndarray,
     return levels, ends
 
 
-def pack(levels: np.ndarray, n: int, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Token ranges of the pieces of a text of ``n`` tokens."""
+class Node:
+    """A stretch of tokens, with the nodes of the next level below it if it is too large
+    for one unit."""
 
-    def begin(cut: int) -> int:
-        start = max(0, cut - overlap)
-        while start and levels[start] == NEVER:
-            start -= 1
-        return start
+    __slots__ = ("start", "end", "children")
+
+    def __init__(self, start: int, end: int, children: list[Node]) -> None:
+        self.start, self.end, self.children = start, end, children
+
+
+def tree(levels: np.ndarray, start: int, end: int, room: int) -> Node:
+    """The structure of [start, end), entered only where a node is oversized. Runs of
+    smaller siblings are one node each, kept by their edges."""
+    if end - start <= room:
+        return Node(start, end, [])
+    inner = levels[start + 1 : end]
+    level = inner.min() if len(inner) else NEVER
+    if level == NEVER:
+        return Node(start, end, [])
+    edges = np.concatenate([[start], start + 1 + np.flatnonzero(inner == level), [end]])
+    return Node(start, end, [tree(levels, int(a), int(b), room) for a, b in zip(edges[:-1], edges[1:])])
+
+
+def merged(node: Node, room: int) -> list[tuple[int, int]]:
+    """Units of a node, bottom-up: those of its children, neighbours merged while they fit."""
+    if not node.children:
+        return [(node.start, node.end)]
+    out: list[tuple[int, int]] = []
+    for child in node.children:
+        for a, b in merged(child, room) if child.children else ((child.start, child.end),):
+            if out and b - out[-1][0] <= room:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+    return out
 
-    cuts = [0]
-    reach = [limit]
-
-    def cut(at: int) -> None:
-        cuts.append(at)
-        reach.append(begin(at) + limit)
-
-    def place(a: int, b: int) -> None:
-        """Merge the node [a, b) into the open piece, or descend into it."""
-        if b <= reach[-1]:
-            return
-        inner = levels[a + 1 : b]
-        if not len(inner) or inner.min() == NEVER:
-            if a > cuts[-1]:
-                cut(a)
-            return
-        split = a + 1 + np.flatnonzero(inner == inner.min())
-        edges = [a, *split.tolist(), b]
-        for c0, c1 in zip(edges, edges[1:]):
-            if c1 <= reach[-1]:
-                continue
-            if c1 - c0 <= limit - overlap - 3 and c0 > cuts[-1]:
-                cut(c0)
-            if c1 > reach[-1]:
-                place(c0, c1)
 
-    place(0, n)
-    return [(begin(c) if c else 0, e) for c, e in zip(cuts, [*cuts[1:], n])]
+def pack(levels: np.ndarray, start: int, end: int, room: int) -> list[tuple[int, int]]:
+    """Units of at most ``room`` tokens that make up [start, end) of a text."""
+    return merged(tree(levels, start, end, room), room)
 
 
 def split_text(text: str, bpe: ByteBpe, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
@@ -140,30 +144,40 @@ def split_text(text: str, bpe: ByteBpe, limit: int = LIMIT, overlap: int = OVERL
         return []
     levels, ends = token_levels(text, bpe, ids)
     raw = text.encode("utf-8", "replace")
-    room = limit
-    while True:
-        ranges = pack(levels, len(ids), room, overlap)
-        worst = max(b - a + _longer(text_start(raw, ends, levels, a), bpe) for a, b in ranges)
-        if worst <= limit or room <= overlap + 8:
-            return [(a, b, raw[ends[a] : ends[b]].decode("utf-8")) for a, b in ranges]
-        room -= worst - limit
-
-
-def text_start(raw: bytes, ends: np.ndarray, levels: np.ndarray, a: int) -> tuple[str, int]:
-    """What a piece starting at token ``a`` has of a word begun before, in tokens too."""
-    if a == 0 or levels[a] != INSIDE:
-        return "", 0
-    stop = min(a + 64, len(levels) - 1)
-    for b in range(a + 1, stop):
-        if levels[b] <= WORD:
-            stop = b
-            break
-    return raw[ends[a] : ends[stop]].decode("utf-8", "ignore"), stop - a
-
-
-def _longer(head: tuple[str, int], bpe: ByteBpe) -> int:
-    """Tokens by which such a start encodes longer when it stands by itself."""
-    return max(0, len(bpe.encode(head[0])) - head[1]) if head[1] else 0
+
+    def begin(cut: int, shared: int) -> int:
+        start = max(0, cut - shared)
+        while start and levels[start] == NEVER:
+            start -= 1
+        return start
+
+    def piece(a: int, b: int) -> str:
+        return raw[ends[a] : ends[b]].decode("utf-8")
+
+    out: list[tuple[int, int, str]] = []
+    # a character is four tokens at most, so an overlap has up to three more
+    todo = pack(levels, 0, len(ids), limit - overlap - 3)[::-1]
+    while todo:
+        a, b = todo.pop()
+        if not a and b <= overlap + 3 and todo:
+            b = todo.pop()[1]  # the first piece has no overlap and holds that of the next
+        start = begin(a, overlap) if a else 0
+        got = piece(start, b)
+        # a piece that starts or ends within a word may be longer by itself
+        over = len(bpe.encode(got)) - limit
+        if over > 0 and b - a > 1:
+            units = pack(levels, a, b, max(1, min(b - a - over, (b - a + 1) // 2)))
+            if len(units) > 1:
+                todo += units[::-1]
+                continue
+        shared = overlap
+        while over > 0 and shared:
+            shared //= 2
+            start = begin(a, shared)
+            got = piece(start, b)
+            over = len(bpe.encode(got)) - limit
+        out.append((start, b, got))
+    return out
 
 
 def split_column(docs: DataFrame, path: str | None = None, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

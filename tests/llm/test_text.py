@@ -57,8 +57,19 @@ def test_pieces_end_at_headings(encoder):
     assert pieces[0][2].rstrip().endswith("here.") and "# Two" not in pieces[0][2]
 
 
+def test_siblings_are_merged_bottom_up():
+    # levels of the boundaries before tokens 0..29: three blocks, the second oversized
+    levels = np.full(31, splitting.INSIDE)
+    levels[[0, 6, 24]] = splitting.BLOCK
+    levels[[12, 18]] = splitting.SENTENCE
+    assert splitting.pack(levels, 0, 30, 12) == [(0, 6), (6, 18), (18, 30)]
+    assert splitting.pack(levels, 0, 30, 8) == [(0, 6), (6, 12), (12, 18), (18, 24), (24, 30)]
+
+
 def test_split_found_is_the_oversized(spark, encoder):
     df = spark.createDataFrame([(1, "word " * 600), (2, "x"), (3, None), (4, ""), (None, "word " * 600)], "doc_id long, text string")
+    for hostile in ("a" * 9000, "\U0001f527\u200d" * 900, "\u65e5\u672c\u8a9e" * 1500, "1234567890" * 400, " " * 5000, "\u00e9" * 3000):
+        assert max(len(encoder.encode(p)) for _, _, p in splitting.split_text(hostile, encoder)) <= 512
     assert sorted(str(r.doc_id) for r in splitting.split_ids(splitting.split_column(df)).collect()) == ["1", "None"]
 
 
@@ -102,6 +113,43 @@ def test_leaks_through_noise():
     assert s.found("> " + item.replace("word7 ", "wo-\n> rd7 ").replace("o", "о"))
     assert s.found(" ".join(item.split()[:24]))
     assert not s.found(" ".join(item.split()[:12])) and not s.found("")
+    # broken up so that no n-gram is left
+    sparse = [w if i % 3 else f"other{i}" for i, w in enumerate(item.split())]
+    assert s.found("intro " + " ".join(sparse)) == [0] and s.found(" ".join(item.split()[::2])) == [0]
+    assert not s.found(" ".join(item.split()[:38:2])) and not s.found(" ".join(reversed(item.split())))
+
+
+def test_random_stretches_against_plain_search():
+    rng = np.random.default_rng(4)
+    vocab = [f"v{i}" for i in range(30)]
+    items = [" ".join(rng.choice(vocab, rng.integers(6, 90))) for _ in range(12)]
+    s = leaks.ItemSet(list(range(12)), items)
+    texts = []
+    for _ in range(60):
+        k = rng.integers(12)
+        w = [x for x in items[k].split() if rng.random() < rng.choice([0.45, 0.55, 0.7])]
+        texts.append([*rng.choice(vocab, rng.integers(0, 60)), *w, *rng.choice(vocab, rng.integers(0, 60))])
+    for text, got in zip(texts, s.stretches(texts, whole=False)):
+        want = set()
+        for k, item in enumerate(items):
+            item = item.split()
+            width, need = int(1.5 * len(item)), -(-len(item) // 2)
+            if any(plain_lcs(item, text[i : i + width]) >= need for i in range(max(1, len(text)))):
+                want.add(k)
+        assert {k for k, _, _ in got} == want
+
+
+def test_leaked_stretches_are_taken_out(spark):
+    item = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame(
+        [(1, f"Before it. {item.upper()}, and after.\nNext {item} end"), (2, "clean text"), (3, None), (4, "")], "doc_id long, text string"
+    )
+    items = spark.createDataFrame([(9, item), (8, None), (7, "")], "eval_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in leaks.without_spans(docs, items).collect()}
+    assert got[1][0] == "Before it.  and after.\nNext  end" and got[1][1] == 2 * len(item) + 1
+    assert got[2] == ("clean text", 0) and got[3] == (None, 0) and got[4] == ("", 0)
+    spans = leaks.leaked_spans(docs, items).collect()
+    assert [(r.doc_id, r.eval_id) for r in spans] == [(1, 9), (1, 9)]
 
 
 def test_page_labels():
