@@ -227,7 +227,7 @@ class ItemSet:
                 out[d] += got if whole or (d, k) not in sure else []
                 if got:
                     sure.add((d, k))
-        return [sorted(set(x)) for x in out]
+        return [_joined(x) for x in out]
 
     def _dense(self, who: np.ndarray, first: np.ndarray, last: np.ndarray, line: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(run, first, end) of the blocks of runs that share enough words in order with
@@ -394,6 +394,17 @@ class ItemSet:
         return lo, j
 
 
+def _joined(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Stretches in order, those of one item that overlap as one."""
+    out: list[tuple[int, int, int]] = []
+    for k, a, b in sorted(found):
+        if out and out[-1][0] == k and a < out[-1][2]:
+            out[-1] = (k, out[-1][1], max(b, out[-1][2]))
+        else:
+            out.append((k, a, b))
+    return out
+
+
 def _runs(who: np.ndarray, pos: np.ndarray, end: np.ndarray, width: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """Starts in order of item and position as runs (first, last end); those further apart
     than a stretch belong to different runs."""
