@@ -5,11 +5,13 @@ are told by what repeats at the edges of an item's pages and by numbers that run
 with them. The rest becomes one character stream without lines, decoded jointly
 into words: a Viterbi search over a trie of known words allows words split by a
 blank, run together, cut by a hyphen at a line end, and misread characters, each at
-a cost. The search runs over windows of the stream, line ends kept, around all that is
-not a known word; known words within ``CONTEXT`` tokens of it are cheap arcs and may be
-pieces of a split word, those farther off are fixed points. Cuts that the words alone
-settle (the joined or the hyphenated form is known) are settled by rule. Paragraph boundaries are the cheapest set under a dynamic program over the
-gaps between lines.
+a cost. The search is skipped where its outcome is certain: a copy of a known word is
+cheaper than any misreading of another, so it runs over the windows of the stream, line
+ends kept, around all that is not a known word and around known words that joined make up
+a known word; within ``CONTEXT`` tokens of these, known words are cheap arcs and may be
+pieces of a split word. Cuts that the words alone settle (the joined or the hyphenated
+form is known) are settled by rule. Paragraph boundaries are the cheapest set under a
+dynamic program over the gaps between lines.
 
 Scale: pages are grouped by item in blocks of ``BLOCK_PAGES`` with one page of
 context on either side, so an item of any length is spread over tasks. The words
@@ -61,8 +63,9 @@ _EDGE = "\"'“”‘’()[]{}.,;:?!…"
 # Costs of the decoder, in about the negative log of their odds.
 MISREAD, SPLIT, RUN_TOGETHER, CUT, BREAK, UNKNOWN, UNKNOWN_CHAR = 2.0, 2.5, 3.0, 0.3, 3.5, 5.0, 0.4
 MOST = 9.0
-#: Known tokens on either side of an unknown one that are decoded with it.
-CONTEXT = 3
+#: Known tokens on either side of an unknown one that are decoded with it, and the most
+#: pieces of a split word that the costs allow.
+CONTEXT, PIECES = 3, 4
 
 
 class Words:
@@ -120,7 +123,7 @@ class Words:
                 stack.append((node, i + 2, cost + CUT, word, bad))
             elif word and c == "\n" and cost + BREAK <= MOST:
                 stack.append((node, i + 1, cost + BREAK, word, bad))
-            if cost + MISREAD <= MOST and len(bad) < 3:
+            if cost + MISREAD <= MOST:
                 for seen, true in _BY_SEEN.get(c, ()):
                     if text.startswith(seen, i):
                         at = node
@@ -264,8 +267,11 @@ def furniture_lines(
         offset, seen = votes.most_common(1)[0]
         if seen < 2 and len(pages) > 1:
             offset = None
+    # what is twice as wide as the printed lines is none of them
+    widths = sorted(len(t.strip()) for _, lines in pages for t in lines if t.strip())
+    wide = 2 * max(widths[len(widths) // 2], 45) if widths else 0
     for o, i, _, t in edges:
-        if (o, i) in out or len(t.strip()) > 90:
+        if (o, i) in out or len(t.strip()) > wide:
             continue
         if _STAMP.fullmatch(t.strip()):
             out.add((o, i))
@@ -373,6 +379,17 @@ def read_lines(lines: list[tuple[tuple[int, int], str]], words: Words) -> tuple[
     for i, t in enumerate(stream):
         if not t.known:
             near[max(0, i - CONTEXT) : i + CONTEXT + 1 + t.joint] = [True] * (min(len(stream), i + CONTEXT + 1 + t.joint) - max(0, i - CONTEXT))
+    # known words whose characters joined are a known word too are read anew: no other
+    # reading of a known word can be cheaper than a copy of it
+    for i in range(len(stream) - 1):
+        joined = stream[i].text.lstrip(_EDGE).lower()
+        for j in range(i + 1, min(i + PIECES, len(stream))):
+            if not joined.isalpha():
+                break
+            last = stream[j].text.lower()
+            if joined + last.rstrip(_EDGE) in words.counts:
+                near[i : j + 1] = [True] * (j + 1 - i)
+            joined += last
     i = 0
     while i < len(stream):
         if not near[i]:
@@ -426,8 +443,12 @@ def _read_window(window: list[_Token], keys: list, words: Words, cut: dict, misr
             fixed[line].append(out)
         out = ""
 
+    decoded = False
     for a, b, word, bad in words.decode(low, copies, frozenset(bars)):
         seen = text[a:b]
+        if word and decoded and out[-1:].isalnum():
+            put()  # words that were run together
+        decoded = bool(word)
         if word or (a, b) in whole:
             if word:
                 read.update(owner[a:b])
@@ -483,18 +504,17 @@ def paragraphs(lines: list[tuple[str, str, bool]]) -> list[str]:
         cost += 2.5 if text[:1].islower() else 0.0
         return cost
 
-    inf = float("inf")
-    best = [inf] * (n + 1)
-    back = [0] * (n + 1)
-    best[0] = 0.0
+    # a paragraph's cost depends on its last line and on whether that is its only one, so
+    # the best start of a longer one is carried along
+    best, back = [0.0] * (n + 1), [0] * (n + 1)
+    longer, longer_at = float("inf"), 0
     for j in range(1, n + 1):
-        for i in range(max(0, j - 400), j):
-            if i and gap(i) > 4:
-                continue
-            title = j - i == 1 and not ends[j - 1]
-            cost = best[i] + (gap(i) if i else 0.0) + (0.0 if ends[j - 1] else 0.6 if title else 2.0)
-            if cost < best[j]:
-                best[j], back[j] = cost, i
+        opened = best[j - 1] + (gap(j - 1) if j > 1 else 0.0)
+        alone = opened + (0.0 if ends[j - 1] else 0.6)
+        more = longer + (0.0 if ends[j - 1] else 2.0)
+        best[j], back[j] = (more, longer_at) if more <= alone else (alone, j - 1)
+        if opened < longer:
+            longer, longer_at = opened, j - 1
     cuts, j = [], n
     while j:
         cuts.append((back[j], j))

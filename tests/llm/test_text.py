@@ -199,11 +199,20 @@ def test_scan_splits_are_decoded_with_their_neighbours():
     cut, misread, fixed = read("the gov er-", "n0r must be")
     assert fixed == [["the", "governor"], ["must", "be"]] and cut and misread == {(1, 1): True}
     assert read("is the\u00ac", "zzq must")[0] == {(1, 0): True}
+    # run together; pieces that are words of their own
+    assert read("the governorroom item")[2] == [["the", "governor", "room", "item"]]
+    rare = scans.Words({"the": 9_000_000, "of": 9_000_000, "example": 900_000, "ex": 1, "ample": 1})
+    assert scans.read_lines([((1, 0), "the ex ample of")], rare)[2] == [["the", "example", "of"]]
     # what is known stays
     assert read("the long haul is in", "the room")[2] == [["the", "long", "haul", "is", "in"], ["the", "room"]]
     assert read("a zyxqwv-", "kjhgf. The")[2] == [["a", "zyxqwvkjhgf."], ["The"]]
 
 
+def test_paragraphs_of_any_length():
+    lines = [("word after word.", "word after word and so on to the end of it.", k == 1200) for k in range(2400)]
+    assert [p.count("after") for p in scans.paragraphs(lines)] == [1200, 1200]
+
+
 def test_scan_tables_with_odd_rows(spark):
     schema = "item_id string, ordinal int, body string, location struct<kind: string>, loaded_at timestamp"
     df = spark.createDataFrame([("a", 0, None, ("page",), None), ("a", 1, "", ("page",), None), ("b", None, "x", ("page",), None), (None, 0, "x", ("page",), None), ("c", 0, "x", ("lines",), None), ("d", 0, "x", None, None)], schema)
