@@ -31,8 +31,9 @@ def p3_text(spark: SparkSession, base: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     history = batches.History(spark)
-    history.append(table(spark, base, "candidates"))
-    return history.duplicates()
+    for name, batch in batches.batches_of(table(spark, base, "candidates")):
+        history.check(batch, name)
+    return history.found()
 
 
 def p8_ids(spark: SparkSession, base: str, vocabulary: str | None = None) -> DataFrame:

@@ -209,7 +209,7 @@ def test_scan_splits_are_decoded_with_their_neighbours():
 
 
 def test_paragraphs_of_any_length():
-    lines = [("word after word.", "word after word and so on to the end of it.", k == 1200) for k in range(2400)]
+    lines = [("Word after word.", "Word after word and so on to the end of it.", k == 1200) for k in range(2400)]
     assert [p.count("after") for p in scans.paragraphs(lines)] == [1200, 1200]
 
 
