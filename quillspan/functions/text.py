@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspan.functions.keys import strip
+from quillspan.functions.keys import UNICODE_SPACE, strip
 
 #: Line separators of Python's splitlines().
 LINE_BREAK = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
@@ -94,3 +94,19 @@ def deadline_us(c: Column) -> Column:
     return F.when(s.rlike(ISO_DATE), F.unix_micros(F.try_to_timestamp(F.concat(s, F.lit(" 00:00:00"))))).when(
         s.rlike(ISO_TIME), local - minutes * F.lit(60_000_000)
     )
+
+
+#: Letters a page of text has at least, and a document; fewer make it sparse.
+PAGE_LETTERS, TEXT_LETTERS = 24, 80
+
+
+def page_letters(text: Column) -> Column:
+    """Of each page between form feeds, how many characters are no white space."""
+    return F.transform(F.split(text, "\f"), lambda p: F.length(F.regexp_replace(p, UNICODE_SPACE, "")))
+
+
+def sparse_pages(letters: Column) -> Column:
+    """Whether pages (by their letters) hold too little text to be read as it is."""
+    full = F.size(F.filter(letters, lambda n: n >= PAGE_LETTERS))
+    total = F.aggregate(letters, F.lit(0), lambda a, n: a + n)
+    return (F.size(letters) == 0) | (total < TEXT_LETTERS) | (full < F.greatest(F.lit(1), F.floor(F.size(letters) / 4).cast("int")))

@@ -15,9 +15,9 @@ from quillspan.functions.text import one_line_break, short_id, universal_newline
 CHUNK_LINES = 40
 
 
-def chunk_texts(texts: DataFrame, lines: int = CHUNK_LINES) -> DataFrame:
+def chunk_texts(texts: DataFrame, lines: int = CHUNK_LINES, also: tuple[str, ...] = ()) -> DataFrame:
     """(item_id, chunk_id, ordinal, body, location, text_sha256) of (item_id, sha256,
-    text[, media_type]). Texts with form feeds, and PDFs, are cut by pages."""
+    text[, media_type]). Texts with form feeds, and PDFs, are cut by pages. Columns named in ``also`` go with each chunk."""
     paged = F.contains("text", F.lit("\f"))
     if "media_type" in texts.columns:
         paged = paged | (F.coalesce("media_type", F.lit("")) == "application/pdf")
@@ -40,7 +40,7 @@ def chunk_texts(texts: DataFrame, lines: int = CHUNK_LINES) -> DataFrame:
         )
     )
     full = t.withColumn("p", F.filter(pieces, lambda x: x["body"] != ""))
-    out = full.select("item_id", "sha256", F.posexplode("p").alias("ordinal", "c"))
+    out = full.select("item_id", "sha256", *also, F.posexplode("p").alias("ordinal", "c"))
     sha = F.sha2(F.col("c.body"), 256)
     place = F.when(F.col("c.page").isNotNull(), F.concat(F.lit("page:"), "c.page")).otherwise(
         F.concat(F.lit("lines:"), "c.a", F.lit("-"), "c.b")
@@ -53,4 +53,5 @@ def chunk_texts(texts: DataFrame, lines: int = CHUNK_LINES) -> DataFrame:
         F.col("c.body").alias("body"),
         F.struct(kind.alias("kind"), F.col("c.a").alias("start_line"), F.col("c.b").alias("end_line"), F.col("c.page").alias("page")).alias("location"),
         sha.alias("text_sha256"),
+        *also,
     )

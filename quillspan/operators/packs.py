@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import none_if_blank, short_id
+from quillspan.functions.text import deadline_us, none_if_blank, short_id
 
 HEX64 = "^[0-9a-f]{64}$"
 # What a member may not drift in without a warning.
@@ -197,3 +197,79 @@ def fold_lifecycle(commands: DataFrame) -> DataFrame:
         return pd.DataFrame({"family_id": [pdf["family_id"].iloc[0]], "state": [state], "n_refused": [refused]})
 
     return commands.groupBy("family_id").applyInPandas(run, "family_id long, state string, n_refused int")
+
+
+def adopted_drift(adopted: DataFrame, items: DataFrame) -> DataFrame:
+    """(adoption_id, local_item_id, codes) of adopted rows (adoption_id, local_item_id,
+    sha256, local_trust, adoption_tag) that no longer agree with the live item; several
+    rows of one local item within an adoption are one finding too."""
+    live = items.select(F.col("item_id").alias("local_item_id"), F.col("sha256").alias("l_sha"), F.col("trust_class").alias("l_trust"), F.col("tags").alias("l_tags"), F.lit(True).alias("there"))
+    n = adopted.groupBy("adoption_id", "local_item_id").agg(F.count("*").alias("n"))
+    tagged = F.coalesce(F.array_contains("l_tags", F.col("adoption_tag")), F.lit(False))
+    codes = F.when(F.col("there").isNull(), F.array(F.lit("item_missing"))).otherwise(
+        F.array_compact(
+            F.array(
+                F.when(~F.coalesce(F.col("sha256").rlike(HEX64), F.lit(False)), "sha256_invalid").when(F.col("l_sha") != F.col("sha256"), "hash_drift"),
+                F.when(~F.col("l_trust").eqNullSafe(F.col("local_trust")), "trust_drift"),
+                F.when(~tagged, "tag_missing"),
+                F.when(F.col("n") > 1, "duplicate_local_item"),
+            )
+        )
+    )
+    at = adopted.join(n, ["adoption_id", "local_item_id"]).join(live, "local_item_id", "left")
+    return at.select("adoption_id", "local_item_id", F.array_join(codes, ",").alias("codes")).filter("codes <> ''").distinct()
+
+
+# What a revision is bound to its adoption record by.
+BINDING = ("pack_id", "pack_version", "manifest_sha256", "local_trust")
+
+
+def binding_drift(revisions: DataFrame, records: DataFrame) -> DataFrame:
+    """(adoption_id, codes): revisions whose record is gone or differs from what they are
+    bound to."""
+    r = records.select("adoption_id", F.lit(True).alias("there"), *[F.col(f).alias(f"r_{f}") for f in BINDING])
+    codes = F.when(F.col("there").isNull(), F.array(F.lit("record_missing"))).otherwise(
+        F.array_compact(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"r_{f}")), f"drift_{f}") for f in BINDING]))
+    )
+    return revisions.join(r, "adoption_id", "left").select("adoption_id", F.array_join(codes, ",").alias("codes")).filter("codes <> ''")
+
+
+def imported_provenance(adopted: DataFrame, carried: DataFrame, items: DataFrame) -> DataFrame:
+    """(local_item_id, origin_pack_id, origin_adoption_id, status, source_provenance): the
+    sidecars that adopted items (adoption_id, pack_id, local_item_id, remote_item_id,
+    sha256) bring from the members of their pack (pack_id, item_id, sha256,
+    source_provenance). Only ``restored`` rows carry one; a payload that is not the
+    member's, or not the live item's, is refused."""
+    m = carried.select("pack_id", F.col("item_id").alias("remote_item_id"), F.col("sha256").alias("m_sha"), "source_provenance", F.lit(True).alias("member"))
+    live = items.select(F.col("item_id").alias("local_item_id"), F.col("sha256").alias("l_sha"))
+    status = (
+        F.when(F.col("member").isNull(), "member_missing")
+        .when(F.col("source_provenance").isNull(), "no_provenance")
+        .when(~F.col("m_sha").eqNullSafe(F.col("sha256")), "payload_drift")
+        .when(~F.col("l_sha").eqNullSafe(F.col("m_sha")), "local_drift")
+        .otherwise("restored")
+    )
+    at = adopted.join(m, ["pack_id", "remote_item_id"], "left").join(live, "local_item_id", "left").withColumn("status", status)
+    return at.select(
+        "local_item_id", F.col("pack_id").alias("origin_pack_id"), F.col("adoption_id").alias("origin_adoption_id"), "status",
+        F.when(F.col("status") == "restored", F.col("source_provenance")).alias("source_provenance"),
+    )
+
+
+# What a sidecar may never hold.
+FORBIDDEN_FIELDS = ("authority_granted canonical_receipt trust_class capability capabilities permissions commands executor court_decision").split()
+TIME_FIELDS = ("source_published_at", "acquired_at", "source_library_imported_at")
+
+
+def sidecar_code(raw: Column) -> Column:
+    """What is wrong with a sidecar as JSON text; null if nothing is."""
+    keys = F.json_object_keys(raw)
+    bad = F.array_sort(F.array_intersect(keys, F.array(*map(F.lit, FORBIDDEN_FIELDS))))
+    unknown = F.array_sort(F.array_except(keys, F.array(*map(F.lit, SIDECAR_FIELDS))))
+    late = [F.when(none_if_blank(F.get_json_object(raw, f"$.{f}")).isNotNull() & deadline_us(F.get_json_object(raw, f"$.{f}")).isNull(), f) for f in TIME_FIELDS]
+    return (
+        F.when(keys.isNull(), "not_an_object")
+        .when(F.size(bad) > 0, F.concat(F.lit("authority_field:"), F.get(bad, 0)))
+        .when(F.size(unknown) > 0, F.concat(F.lit("unknown_field:"), F.get(unknown, 0)))
+        .when(F.coalesce(*late).isNotNull(), F.concat(F.lit("not_a_time:"), F.coalesce(*late)))
+    )

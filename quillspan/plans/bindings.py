@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillspan.functions.keys import not_blank
 from quillspan.operators.catalog import first_delivery
 from quillspan.operators.chunking import chunk_texts
+from quillspan.operators.fulltext import Index, write_index
+from quillspan.session import scratch_path
 from quillspan.sources.tables import spread, table
 
 
@@ -44,6 +46,18 @@ def document_items(spark: SparkSession, base: str) -> DataFrame:
 
 def document_chunks(spark: SparkSession, base: str) -> DataFrame:
     """Chunks of the documents with the catalog fields they are ranked by."""
-    d = document_items(spark, base)
-    fields = d.select("item_id", "title", "source", "tags")
-    return chunk_texts(d.select("item_id", "sha256", "text")).join(fields, "item_id")
+    return chunk_texts(document_items(spark, base).select("item_id", "sha256", "text", "title", "source", "tags"), also=("title", "source", "tags"))
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def document_index(spark: SparkSession, base: str) -> Index:
+    """The index of the documents' chunks: written to the shared folder when it is first
+    asked for in an application, then read."""
+    key = (spark.sparkContext.applicationId, base)
+    if key not in _INDEXES:
+        path = scratch_path(spark, "index")
+        write_index(document_chunks(spark, base), path)
+        _INDEXES[key] = path
+    return Index(spark, _INDEXES[key])

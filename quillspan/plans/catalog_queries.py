@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.operators import audit, catalog, fulltext, packs, vault, web, windows
-from quillspan.operators import chunking, federation
-from quillspan.functions.text import count_of, deadline_us, index_tokens, tidy_tags
-from quillspan.plans.bindings import candidates, document_chunks, document_items, items
+from quillspan.operators import chunking, federation, identity
+from quillspan.functions.text import count_of, deadline_us, index_tokens, page_letters, sparse_pages, tidy_tags
+from quillspan.plans.bindings import candidates, document_chunks, document_index, document_items, items
 from quillspan.sources.tables import table
 from quillspan.streaming import jobs
 
@@ -158,18 +158,17 @@ def chunk_pages(s, b):
 SELECT item_id, chunk_id, term, count(*) AS tf FROM (
   SELECT item_id, chunk_id, unnest(list_concat(list_concat(title_t, source_t), list_concat(tags_t, body_t))) AS term FROM {TOKENS}) GROUP BY 1, 2, 3) GROUP BY 1""")
 def tokens_postings(s, b):
-    p = fulltext.postings(fulltext.token_rows(document_chunks(s, b)))
-    c = p.groupBy("term", "item_id", "chunk_id").agg(F.sum("tf").alias("tf"))
+    c = document_index(s, b).postings().groupBy("term", "item_id", "chunk_id").agg(F.sum(F.size("positions")).alias("tf"))
     return c.groupBy("term").agg(F.count("*").alias("n_chunks"), F.sum("tf").alias("n_total"))
 
 
 @query(f"SELECT count(*) AS n_rows, CAST(sum(dl) AS BIGINT) AS total_tokens, round(avg(dl), 6) AS avgdl FROM {TOKENS}")
 def corpus_stats(s, b):
-    return fulltext.corpus_stats(fulltext.token_rows(document_chunks(s, b)))
+    return document_index(s, b).stats()
 
 
 def _search(text: str, k: int = 20):
-    return lambda s, b: fulltext.top(fulltext.bm25(fulltext.token_rows(document_chunks(s, b)), text), k)
+    return lambda s, b: fulltext.top(document_index(s, b).search(text), k)
 
 
 for _name, _text in (
@@ -219,14 +218,38 @@ SELECT * FROM (SELECT 1 AS stage, item_id, chunk_id, title, score, 'full_text' A
 UNION ALL SELECT 2, item_id, NULL, title, score, 'metadata' FROM m WHERE item_id NOT IN (SELECT item_id FROM c))
 ORDER BY stage, score DESC, lower(title), item_id, chunk_id LIMIT 40""")
 def evidence_two_stage(s, b):
-    return fulltext.evidence(fulltext.token_rows(document_chunks(s, b)), document_items(s, b), _E, 40)
+    return fulltext.evidence(document_index(s, b), document_items(s, b), _E, 40)
+
+
+@query(f"""WITH c AS ({_top(_bm25_sql(_E), 40)}),
+m AS ({_meta_sql(fulltext.query_terms(_E), DOCS)}), e AS (
+SELECT * FROM (SELECT 1 AS stage, item_id, chunk_id, title, score FROM c
+UNION ALL SELECT 2, item_id, NULL, title, score FROM m WHERE item_id NOT IN (SELECT item_id FROM c))
+ORDER BY stage, score DESC, lower(title), item_id, chunk_id LIMIT 40)
+SELECT 'fs_' || left(sha256('library|' || e.item_id || '|' || coalesce(chunk_id, 'metadata')), 24) AS result_id, 'library' AS provider, 'library:' || e.item_id AS uri,
+substr(trim(e.title), 1, 300) AS title, substr(trim(d.source), 1, 300) AS source FROM e JOIN {DOCS} d ON d.item_id = e.item_id""")
+def library_results(s, b):
+    d = document_items(s, b)
+    rows = fulltext.evidence(document_index(s, b), d, _E, 40).join(d.select("item_id", "source", "sha256", "trust_class"), "item_id")
+    return federation.library_rows(rows.withColumn("snippet", F.lit(""))).select("result_id", "provider", "uri", "title", "source")
+
+
+def _shown(s, b, text: str, k: int) -> DataFrame:
+    """Ranked chunks with what evidence rows carry."""
+    hits = fulltext.top(document_index(s, b).search(text), k)
+    rows = fulltext.with_snippets(hits, document_chunks(s, b), text)
+    sha = document_items(s, b).select("item_id", "sha256")
+    return rows.join(sha, "item_id").withColumn("retrieval_method", F.lit("full_text"))
+
+
+@query()
+def search_snippets(s, b):
+    return _shown(s, b, "rheostat night", 25)
 
 
 @query()
 def evidence_window_text(s, b):
-    chunks = document_chunks(s, b)
-    seeds = chunks.join(fulltext.top(fulltext.bm25(fulltext.token_rows(chunks), "rheostat"), 20).select("item_id", "chunk_id"), ["item_id", "chunk_id"])
-    return windows.evidence_windows(seeds, chunks, "rheostat")
+    return windows.expand_evidence(_shown(s, b, "rheostat", 20), document_items(s, b), document_chunks(s, b), "rheostat")
 
 
 @query()
@@ -412,19 +435,30 @@ def orphan_payloads(s, b):
     return audit_findings(s, b).filter(F.startswith("code", F.lit("orphan"))).select("path")
 
 
-@query()
+def _record_sql(key: str, fields: tuple[str, ...]) -> str:
+    value = lambda f: "coalesce(tags, [])" if f == "tags" else f"nullif({f}, '')" if f in audit.PATH_FIELDS else f
+    return "CAST(to_json({" + ", ".join(f"'{f}': {value(f)}" for f in sorted([key, *fields])) + "}) AS VARCHAR)"
+
+
+_ITEM_RECORD, _CAND_RECORD = _record_sql("item_id", audit.SNAPSHOT_FIELDS), _record_sql("candidate_id", audit.CANDIDATE_FIELDS)
+SNAPSHOT_SCHEMA, PACK_SCHEMA = "archive-snapshot.v1", "archive-pack.v1"
+
+
+@query(f"SELECT item_id, {_ITEM_RECORD} AS record FROM {ITEMS}")
 def snapshot_records(s, b):
     return audit.snapshot_records(items(s, b))
 
 
-@query()
+@query(f"SELECT candidate_id, {_CAND_RECORD} AS record FROM {CANDS}")
 def snapshot_candidate_records(s, b):
     return audit.candidate_records(candidates(s, b))
 
 
-@query()
+@query(f"""SELECT 'snap_' || sha256('{{"authority":"none","candidates":[' || (SELECT string_agg({_CAND_RECORD}, ',' ORDER BY candidate_id) FROM {CANDS})
+|| '],"canonical_bytes_embedded":false,"canonical_receipt":false,"include_candidates":true,"items":[' || (SELECT string_agg({_ITEM_RECORD}, ',' ORDER BY item_id) FROM {ITEMS})
+|| '],"schema":"{SNAPSHOT_SCHEMA}"}}') AS snapshot_id, (SELECT count(*) FROM {ITEMS}) AS n_items, (SELECT count(*) FROM {CANDS}) AS n_candidates""")
 def snapshot_id(s, b):
-    return audit.snapshot_id(items(s, b), candidates=candidates(s, b))
+    return identity.snapshot_ids(items(s, b), candidates(s, b), SNAPSHOT_SCHEMA)
 
 
 @query(f"""WITH i AS (SELECT *, ascii(right(item_id, 1)) AS z FROM {ITEMS}),
@@ -464,9 +498,28 @@ def pack_manifest_members(s, b):
     return _whole_members(s, b)
 
 
-@query()
+_MEMBER_SQL = """w AS (SELECT i.*, ascii(right(i.item_id, 1)) AS z, p.payload_bytes, v.item_id IS NOT NULL AS has_sidecar, v.author, v.publisher, v.license_status,
+ v.source_published_at, v.acquired_at, v.acquisition_method, v.source_library_imported_at FROM (SELECT * FROM ITEMS_) i
+ LEFT JOIN (SELECT sha256, max(bytes) AS payload_bytes FROM acquisitions GROUP BY 1) p USING (sha256) LEFT JOIN (SELECT * FROM PROV_) v ON v.item_id = i.item_id),
+x AS (SELECT * REPLACE (CASE WHEN z % 11 = 0 THEN ' ' ELSE title END AS title, CASE WHEN z % 13 = 0 THEN 'bad' ELSE sha256 END AS sha256,
+ CASE WHEN z % 5 = 0 THEN 'v9' ELSE version_label END AS version_label) FROM w)""".replace("ITEMS_", ITEMS).replace("PROV_", _first("source_provenance", "item_id"))
+
+
+def _member_json() -> str:
+    blank = lambda c: f"nullif({_STRIP.format(c)}, '')"
+    side = "{" + ", ".join(f"'{f}': {blank(f)}" for f in packs.SIDECAR_FIELDS) + "}"
+    value = {"tags": "coalesce(tags, [])", "source_provenance": side}
+    fields = sorted([*packs.MEMBER_FIELDS, "payload_bytes"])
+    made = lambda names: "CAST(to_json({" + ", ".join(f"'{f}': {value.get(f, f)}" for f in names) + "}) AS VARCHAR)"
+    return f"CASE WHEN has_sidecar THEN {made(sorted([*fields, 'source_provenance']))} ELSE {made(fields)} END"
+
+
+@query(f"""WITH {_MEMBER_SQL} SELECT source AS pack_name, 'kpack_' || left(sha256('{{"description":null,"members":[' || string_agg({_member_json()}, ',' ORDER BY item_id)
+|| '],"name":' || CAST(to_json(source) AS VARCHAR) || ',"schema":"{PACK_SCHEMA}","version":"1"}}'), 24) AS pack_id, count(*) AS n_members FROM x GROUP BY source""")
 def pack_manifest_ids(s, b):
-    return packs.manifest_ids(_whole_members(s, b))
+    m = _whole_members(s, b)
+    versions = m.select("pack_name").distinct().select("pack_name", F.lit("1").alias("version"), F.lit(None).cast("string").alias("description"))
+    return identity.manifest_digests(m, versions, PACK_SCHEMA)
 
 
 _MEM = f"""m AS (SELECT source AS pack_name, item_id, CASE WHEN z % 11 = 0 THEN ' ' ELSE title END AS title, CASE WHEN z % 13 = 0 THEN 'bad' ELSE sha256 END AS sha256,
@@ -589,39 +642,148 @@ def provenance_validate(s, b):
     return packs.provenance_codes(catalog.first_delivery(table(s, b, "source_provenance"), "item_id"), items(s, b))
 
 
+def _adopted(s, b):
+    """Items as adopted from the pack of their source, some of them drifted since."""
+    z = F.ascii(F.right("item_id", F.lit(1)))
+    tag = F.concat(F.lit("adopted:"), F.left(F.sha2(F.col("item_id"), 256), F.lit(24)))
+    return items(s, b).select(
+        F.concat(F.lit("adopt_"), F.left(F.sha2(F.col("source"), 256), F.lit(24))).alias("adoption_id"), F.col("source").alias("pack_id"),
+        F.col("item_id").alias("local_item_id"), F.when(z % 11 == 0, F.concat(F.lit("gone_"), "item_id")).otherwise(F.col("item_id")).alias("remote_item_id"),
+        F.when(z % 7 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"), F.when(z % 5 == 0, "owner").otherwise(F.col("trust_class")).alias("local_trust"),
+        tag.alias("adoption_tag"), z.alias("z"),
+    )
+
+
+_ADOPTED = f"""d AS (SELECT *, ascii(right(item_id, 1)) AS z FROM {ITEMS}), a AS (SELECT 'adopt_' || left(sha256(source), 24) AS adoption_id, source AS pack_id, item_id AS local_item_id,
+CASE WHEN z % 11 = 0 THEN 'gone_' || item_id ELSE item_id END AS remote_item_id, CASE WHEN z % 7 = 0 THEN sha256(sha256) ELSE sha256 END AS sha256,
+CASE WHEN z % 5 = 0 THEN 'owner' ELSE trust_class END AS local_trust, trust_class, sha256 AS l_sha, z FROM d)"""
+
+
+@query(f"""WITH {_ADOPTED} SELECT adoption_id, local_item_id, concat_ws(',', CASE WHEN l_sha <> sha256 THEN 'hash_drift' END, CASE WHEN local_trust <> trust_class THEN 'trust_drift' END,
+CASE WHEN z % 3 = 0 THEN 'tag_missing' END) AS codes FROM a WHERE l_sha <> sha256 OR local_trust <> trust_class OR z % 3 = 0""")
+def adoption_drift(s, b):
+    a = _adopted(s, b)
+    tag = F.concat(F.lit("adopted:"), F.left(F.sha2(F.col("item_id"), 256), F.lit(24)))
+    tags = F.when(F.ascii(F.right("item_id", F.lit(1))) % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(tag))
+    return packs.adopted_drift(a, items(s, b).withColumn("tags", tags))
+
+
+@query(f"""WITH {_ADOPTED}, v AS (SELECT * FROM {_PROV}) SELECT local_item_id, pack_id AS origin_pack_id, adoption_id AS origin_adoption_id,
+CASE WHEN z % 11 = 0 THEN 'member_missing' WHEN v.item_id IS NULL THEN 'no_provenance' WHEN a.sha256 <> l_sha THEN 'payload_drift' ELSE 'restored' END AS status,
+CASE WHEN z % 11 <> 0 AND v.item_id IS NOT NULL AND a.sha256 = l_sha THEN {_blank('author')} END AS author FROM a LEFT JOIN v ON v.item_id = a.local_item_id""")
+def provenance_import(s, b):
+    m = packs.members(items(s, b), _sidecars(s, b), table(s, b, "acquisitions").select("sha256", "bytes")).withColumnRenamed("pack_name", "pack_id")
+    got = packs.imported_provenance(_adopted(s, b), m, items(s, b))
+    return got.select("local_item_id", "origin_pack_id", "origin_adoption_id", "status", F.col("source_provenance.author").alias("author"))
+
+
+@query(f"""WITH r AS (SELECT *, ascii(right(adoption_id, 1)) AS z FROM {_first('adoptions', 'adoption_id')})
+SELECT adoption_id, CASE WHEN z % 5 = 0 THEN 'record_missing' ELSE concat_ws(',', CASE WHEN z % 2 = 0 THEN 'drift_pack_version' END, CASE WHEN z % 3 = 0 THEN 'drift_local_trust' END) END AS codes
+FROM r WHERE z % 5 = 0 OR z % 2 = 0 OR z % 3 = 0""")
+def revision_binding(s, b):
+    r = catalog.first_delivery(table(s, b, "adoptions"), "adoption_id").withColumn("z", F.ascii(F.right("adoption_id", F.lit(1))))
+    said = r.filter("z % 5 <> 0").withColumns({
+        "pack_version": F.when(F.col("z") % 2 == 0, F.concat("pack_version", F.lit("+"))).otherwise(F.col("pack_version")),
+        "local_trust": F.when(F.col("z") % 3 == 0, "other").otherwise(F.col("local_trust")),
+    })
+    return packs.binding_drift(r, said)
+
+
+# --- files and pages ----------------------------------------------------------------
+@query("SELECT item_id, 'https://files.example/a/' || replace(url_encode(title), '%2F', '/') AS address FROM " + ITEMS)
+def file_addresses(s, b):
+    return items(s, b).select("item_id", web.file_address(F.lit("https://files.example/a/"), F.col("title")).alias("address"))
+
+
+_TYPE = "CASE WHEN lower(trim(string_split(coalesce(content_type, ''), ';')[1])) = '' THEN 'application/octet-stream' ELSE lower(trim(string_split(coalesce(content_type, ''), ';')[1])) END"
+_BY_TYPE = f"CASE {_TYPE} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in web.SUFFIX_OF.items()) + f" ELSE CASE WHEN starts_with({_TYPE}, 'text/') THEN '.txt' ELSE '.bin' END END"
+
+
+@query(rf"""WITH u AS (SELECT acquisition_id, {_BY_TYPE} AS by_type, CASE WHEN {_TYPE} = 'text/html' THEN '.html' ELSE {_BY_TYPE} END AS guessed,
+lower(regexp_extract(regexp_extract(regexp_extract(trim(final_url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1), '^[^/]*[^./](\.[^./]+)$', 1)) AS own
+FROM {_first('acquisitions', 'acquisition_id')})
+SELECT acquisition_id, by_type, CASE WHEN length(own) <= 12 AND regexp_matches(own, '^\.[\p{{L}}\p{{N}}-]*[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}-]*$') THEN own ELSE guessed END AS safe FROM u""")
+def payload_suffixes(s, b):
+    a = catalog.first_delivery(table(s, b, "acquisitions"), "acquisition_id")
+    kind = F.col("content_type")
+    return a.select("acquisition_id", web.suffix_of_type(kind).alias("by_type"), web.safe_suffix(F.col("final_url"), kind).alias("safe"))
+
+
+def _between(*nets: tuple[str, int]) -> str:
+    number = lambda ip: sum(int(x) << 8 * (3 - i) for i, x in enumerate(ip.split(".")))
+    return " OR ".join(f"n BETWEEN {number(ip)} AND {number(ip) + (1 << 32 - bits) - 1}" for ip, bits in nets)
+
+
+_NONPUBLIC = _between(
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("192.0.2.0", 24), ("198.18.0.0", 15),
+    ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
+)
+
+
+@query(f"""WITH a AS (SELECT o_orderkey, (o_orderkey * 2654435761) % 4294967296 AS n FROM orders)
+SELECT o_orderkey, (n // 16777216) || '.' || (n // 65536 % 256) || '.' || (n // 256 % 256) || '.' || (n % 256) AS address, {_NONPUBLIC} AS nonpublic FROM a""")
+def address_class(s, b):
+    n = (F.col("o_orderkey").cast("long") * F.lit(2654435761)) % F.lit(4294967296)
+    part = lambda k: (F.floor(F.col("n") / (1 << 8 * k)) % 256).cast("string")
+    ip = table(s, b, "orders").select("o_orderkey", n.alias("n")).select("o_orderkey", F.concat_ws(".", *[part(k) for k in (3, 2, 1, 0)]).alias("address"))
+    return ip.withColumn("nonpublic", web.nonpublic_address("address"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, list_transform(string_split(text, chr(12)), lambda x: length(regexp_replace(x, '{_WS}', '', 'g'))) AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(list_sum(l) AS BIGINT) AS n_letters, list_sum(l) < 80 OR len(list_filter(l, lambda n: n >= 24)) < greatest(1, len(l) // 4) AS sparse FROM p""")
+def sparse_documents(s, b):
+    d = table(s, b, "documents").filter("text is not null").select("doc_id", page_letters(F.col("text")).alias("l"))
+    return d.select("doc_id", F.aggregate("l", F.lit(0).cast("long"), lambda a, n: a + n).alias("n_letters"), sparse_pages(F.col("l")).alias("sparse"))
+
+
+@query(f"SELECT item_id, CAST(to_json(string_split({_TAGS}, ',')) AS VARCHAR) AS tags_json FROM {ITEMS} WHERE {_TAGS} <> '' AND NOT contains(array_to_string(tags, ''), ',')")
+def tags_json(s, b):
+    plain = items(s, b).filter(~F.contains(F.array_join("tags", ""), F.lit(","))).withColumn("t", tidy_tags(F.col("tags")))
+    return plain.filter(F.size("t") > 0).select("item_id", F.to_json("t").alias("tags_json"))
+
+
 # --- federation -------------------------------------------------------------------
 _REF = _first("fetched_references", "page_id")
 
 
-def _results(s, b, limit: int):
+def _results(s, b, limit: int | None):
     lib = federation.result_row(items(s, b).withColumn("u", F.concat(F.lit("library://"), "item_id")), "library", "u", "title", "source", "rights_note")
     docs = federation.result_row(document_items(s, b).withColumn("u", F.concat(F.lit("zim://"), "item_id")), "zim", "u", "title", "source", "text")
     pages = catalog.first_delivery(table(s, b, "fetched_references").filter("page_id is not null"), "page_id")
-    return federation.federate({"library": lib, "zim": docs, "web": federation.result_row(pages, "web", "url", "title", "source", "html"), "off": None}, limit)[0]
+    web_rows = federation.result_row(pages, "web", "url", "title", "source", "html")
+    return federation.federate({"library": lib, "zim": docs, "web": web_rows, "off": None, "broken": lambda: docs.select("no_such_column")}, limit)
+
+
+def _unescaped(c: str) -> str:
+    for seen, wanted in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+        c = f"replace({c}, '{seen}', '{wanted}')"
+    return c
 
 
-_SUMM = r"substr(trim(regexp_replace(regexp_replace(coalesce({0}, ''), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 1, 900)"
+_SUMM = "substr(trim(regexp_replace(" + _unescaped("regexp_replace(coalesce({0}, ''), '<[^>]+>', ' ', 'g')") + r", '[\s\x{{A0}}]+', ' ', 'g')), 1, 900)"
 _FED = f"""WITH u AS (
-SELECT 0 AS provider_rank, 'library' AS provider, 'library://' || item_id AS uri, substr(title, 1, 300) AS title, substr(source, 1, 300) AS source, {_SUMM.format('rights_note')} AS summary FROM {ITEMS}
-UNION ALL SELECT 1, 'zim', 'zim://' || item_id, substr(title, 1, 300), substr(source, 1, 300), {_SUMM.format('text')} FROM {DOCS}
-UNION ALL SELECT 2, 'web', url, substr(title, 1, 300), substr(source, 1, 300), {_SUMM.format('html')} FROM {_REF}),
-c AS (SELECT *, CAST(row_number() OVER (PARTITION BY provider ORDER BY title, uri) AS INTEGER) AS position, 'fs_' || left(sha256(provider || '|' || uri || '|' || title), 24) AS result_id FROM u)
+SELECT 0 AS provider_rank, 'library' AS provider, 'library://' || item_id AS uri, title AS t, source AS s, {_SUMM.format('rights_note')} AS summary FROM {ITEMS}
+UNION ALL SELECT 1, 'zim', 'zim://' || item_id, title, source, {_SUMM.format('text')} FROM {DOCS}
+UNION ALL SELECT 2, 'web', url, title, source, {_SUMM.format('html')} FROM {_REF}),
+c AS (SELECT *, substr(trim(t), 1, 300) AS title, substr(trim(s), 1, 300) AS source, 'fs_' || left(sha256(provider || '|' || uri || '|' || t), 24) AS result_id FROM u),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY provider ORDER BY title, uri) AS INTEGER) AS position FROM c)
 """
 
 
-@query(_FED + "SELECT provider_rank, provider, uri, title, source, summary, position, result_id FROM c WHERE position <= 8")
+@query(_FED + "SELECT provider_rank, provider, uri, title, source, summary, position, result_id FROM r WHERE position <= 8")
 def federated_top_per_provider(s, b):
-    return _results(s, b, 8)
+    return _results(s, b, 8)[0]
 
 
-@query(_FED + "SELECT provider, count(*) AS n_results FROM c WHERE position <= 25 GROUP BY 1")
+@query(_FED + """SELECT provider, 'ok' AS status, count(*) AS n_results FROM r WHERE position <= 25 GROUP BY 1
+UNION ALL SELECT 'off', 'disabled', 0 UNION ALL SELECT 'broken', 'error: AnalysisException', 0""")
 def federated_status(s, b):
-    return federation.provider_counts(_results(s, b, 25))
+    return federation.provider_counts(*_results(s, b, 25))
 
 
 @query(_FED + "SELECT result_id, provider, uri FROM c")
 def federated_union(s, b):
-    return _results(s, b, 1 << 30).select("result_id", "provider", "uri")
+    return _results(s, b, None)[0].select("result_id", "provider", "uri")
 
 
 @query(f"SELECT page_id, {_SUMM.format('html')} AS summary FROM {_REF}")

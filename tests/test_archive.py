@@ -1,4 +1,5 @@
 import io
+import re
 import zipfile
 
 import pytest
@@ -61,11 +62,91 @@ def test_ranking_matches_a_plain_computation(spark):
     assert fulltext.bm25(t, "!!").count() == 0
 
 
-def test_windows(spark):
-    text = ["# T\n\nintro", "## Care\n\nInspect the pulley.", "- one\n- two", "## Other\n\nrest"]
-    c = spark.createDataFrame([("i", f"c{k}", k, b) for k, b in enumerate(text)], "item_id string, chunk_id string, ordinal int, body string")
-    r = windows.evidence_windows(c.filter("ordinal = 1"), c, "care").first()
-    assert r.snippet.startswith("## Care") and "two" in r.snippet and "Other" not in r.snippet and r.chunk_ids == ["c1", "c2"]
+def _bundle(spark, bodies, query, seed=0, shown="", **kw):
+    sha = "a" * 64
+    items = spark.createDataFrame([("i", kw.pop("live", sha))], "item_id string, sha256 string")
+    chunks = spark.createDataFrame([("i", f"c{k}", k, b) for k, b in enumerate(bodies)], "item_id string, chunk_id string, ordinal int, body string")
+    rows = spark.createDataFrame(
+        [("i", f"c{seed}", sha, shown, "full_text"), ("i", None, sha, "m", "metadata"), ("i", "gone", sha, "g", "full_text"), ("x", "c0", "zz", None, "full_text")],
+        "item_id string, chunk_id string, sha256 string, snippet string, retrieval_method string",
+    )
+    got = {(r.item_id, r.chunk_id): r for r in windows.expand_evidence(rows, items, chunks, query, **kw).collect()}
+    assert len(got) == 4 and all(r.windowed is None and r.chunk_ids is None for k, r in got.items() if k != ("i", f"c{seed}"))
+    return got["i", f"c{seed}"]
+
+
+def test_windows_of_sections(spark):
+    bodies = ["# Pump\nintro text", "## Valve care v1.4\noil it\nweekly\n### Seals\nnone leak", "## Other\nend of it"]
+    r = _bundle(spark, bodies, "the Valve care", seed=1)
+    assert r.snippet == "## Valve care v1.4\noil it\nweekly\n### Seals\nnone leak" and r.chunk_ids == ["c1"] and r.windowed and not r.window_truncated
+    # a section that goes on into the next chunk; one that is too long is cut at a break
+    r = _bundle(spark, ["## Valve care\n" + "word " * 30, "more " * 30, "# Next"], "valve", most=300)
+    assert r.snippet.startswith("## Valve care") and len(r.snippet) <= 300 and r.snippet.endswith("more") and r.window_truncated and r.chunk_ids == ["c0", "c1"]
+    # all that the query tells must be in the heading
+    assert _bundle(spark, ["## Valve\ntext", "x" * 90], "valve pump", most=80).window_truncated
+
+
+def test_windows_around_words(spark):
+    body = "first line here\n" + "filler words " * 60 + "the needle phrase stands here " + "tail words " * 60
+    r = _bundle(spark, [body], "Needle  phrase", most=120)
+    assert "needle phrase" in r.snippet and len(r.snippet) <= 120 and r.window_truncated
+    # without the words the middle of the seed is shown
+    assert _bundle(spark, [body], "absent", most=120).snippet in body
+    # at most so many chunks, the seed among them
+    r = _bundle(spark, [f"{k} ab" for k in range(9)], "ab", seed=4, most=480, max_chunks=2)
+    assert len(r.chunk_ids) == 2 and "c4" in r.chunk_ids and r.window_truncated
+
+
+def test_windows_that_stay(spark):
+    # a live item of another digest, and a longer text already shown
+    assert _bundle(spark, ["abc needle"], "needle", live="b" * 64).windowed is None
+    r = _bundle(spark, ["abc needle"], "needle", shown="a longer text than that")
+    assert r.windowed is None and r.snippet == "a longer text than that"
+    with pytest.raises(ValueError):
+        _bundle(spark, ["a"], "  ")
+    with pytest.raises(ValueError):
+        _bundle(spark, ["a"], "a", most=79)
+    assert windows.telling("how is the v1.4 x") == ["v1.4"] and windows.telling("the") == ["the"]
+
+
+def test_snippets_like_a_full_text_engine(spark):
+    import random
+    import sqlite3
+
+    con = sqlite3.connect(":memory:")
+    try:
+        con.execute("create virtual table t using fts5(body)")
+    except sqlite3.OperationalError:
+        pytest.skip("no full-text engine")
+    rng = random.Random(8)
+    words = "valve pump line of the a night watch Straße café low-pressure v1.4 end. next: x".split()
+    bodies = [" ".join(rng.choice(words) + rng.choice(["", "", ",", ".", ":", "\n"]) for _ in range(rng.randrange(1, 120))) for _ in range(150)]
+    con.executemany("insert into t values (?)", [(b,) for b in bodies])
+    n = 0
+    for query in ("valve", "pump line", "low-pressure", "v1.4 night", "cafe the of", "next x"):
+        terms = fulltext.query_terms(query)
+        rows = con.execute("select body, snippet(t, 0, '', '', ' … ', 28) from t where t match ?", (" AND ".join(f'"{t}"' for t in terms),))
+        for body, want in rows:
+            n += 1
+            assert fulltext.snippet(body, [fulltext.phrase(t) for t in terms]) == " ".join(want.split())
+    assert n > 100
+
+
+def test_index_reads_its_terms_alone(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(f"i{k}", f"c{k}", f"title {k}", "s", ["t"], f"word{k} valve low pressure" if k % 2 else "pump line") for k in range(40)],
+        "item_id string, chunk_id string, title string, source string, tags array<string>, body string",
+    )
+    index = fulltext.write_index(rows, str(tmp_path / "ix"), buckets=16)
+    for query in ("valve", "low-pressure", "pump valve", "word3", "title", "valve valve", "absent", "!!"):
+        want = {r.chunk_id: r.score for r in fulltext.bm25(fulltext.token_rows(rows), query).collect()}
+        assert {r.chunk_id: r.score for r in index.search(query).collect()} == pytest.approx(want)
+    plan = index.postings(["word3"])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = \d+", plan) and "EqualTo(term,word3)" in plan
+    empty = fulltext.write_index(rows.limit(0), str(tmp_path / "none"))
+    assert empty.search("valve").count() == 0 and empty.stats().first().n_rows == 0
+    got = fulltext.with_snippets(fulltext.top(index.search("word3"), 5), rows, "word3").collect()
+    assert [r.snippet for r in got] == ["word3 valve low pressure"]
 
 
 def test_ingest_plan(spark):
@@ -84,7 +165,9 @@ def test_federation_isolates_failures(spark):
     def broken():
         raise OSError("down")
 
-    rows, status = federation.federate({"a": broken, "web": df, "zim": None}, 2)
+    late = spark.createDataFrame([(1,)], "n int").select(F.raise_error(F.lit("late")).cast("string").alias("uri"), F.lit("t").alias("title"))
+    rows, status = federation.federate({"a": broken, "web": df, "zim": None, "late": late}, 2)
+    assert status.pop("late").startswith("error: ")
     assert rows.count() == 2 and status == {"a": "error: OSError", "web": "ok", "zim": "disabled"}
 
 
@@ -208,3 +291,101 @@ def test_lookup(spark):
     wanted = spark.createDataFrame([("lib_a1",), ("lib_a",), ("eeee",), ("none_",), (None,)], "wanted string")
     got = {r.wanted: (r.item_id, r.status) for r in catalog.lookup(rows, wanted, "item_id").collect()}
     assert got == {"lib_a1": ("lib_a1", "exact"), "lib_a": (None, "ambiguous"), "eeee": ("lib_a2", "prefix"), "none_": (None, "not_found")}
+
+
+def test_canonical_ids_of_documents(spark):
+    import hashlib
+    import json
+
+    from quillspan.operators import identity
+
+    names = [*audit.SNAPSHOT_FIELDS]
+    rows = [{"item_id": k, **{f: f"{f} é/\x01\\u001F \"{k}" for f in names}, "tags": ["b", "a"], "source_uri": None, "storage_path": f"archive/{k}", "extracted_text_path": None} for k in ("b", "a", "é")]
+    schema = "item_id string, " + ", ".join("tags array<string>" if f == "tags" else f"{f} string" for f in names)
+    items = spark.createDataFrame([tuple(r[f] for f in ["item_id", *names]) for r in rows], schema)
+    cands = spark.createDataFrame([], "candidate_id string, " + ", ".join("tags array<string>" if f == "tags" else f"{f} string" for f in audit.CANDIDATE_FIELDS))
+    core = {
+        "schema": "s.v1", "items": sorted(rows, key=lambda r: r["item_id"]), "candidates": [], "include_candidates": True,
+        "canonical_bytes_embedded": False, "canonical_receipt": False, "authority": "none",
+    }
+    want = "snap_" + hashlib.sha256(json.dumps(core, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    assert tuple(identity.snapshot_ids(items, cands, "s.v1").first()) == (want, 3, 0)
+    none = dict(core, items=[], include_candidates=False)
+    empty = "snap_" + hashlib.sha256(identity.canonical(none)).hexdigest()
+    assert tuple(identity.snapshot_ids(items.limit(0), None, "s.v1").first()) == (empty, 0, 0)
+    bodies = [("good", json.dumps({"snapshot_id": want, "core": core})), ("bad", json.dumps({"snapshot_id": "x", "core": core})), ("none", "{"), ("null", None)]
+    got = {r.name: (r.valid, r.n_items) for r in identity.inspect_snapshots(spark.createDataFrame(bodies, "name string, body string")).collect()}
+    assert got == {"good": (True, 3), "bad": (False, 3), "none": (False, None), "null": (False, None)}
+
+
+def test_sidecars_entities_packs_and_shelves(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.html").write_text("<title>Own title</title><p>x</p>")
+    (tmp_path / "a.html.meta.json").write_text('{"title": "Side", "trust": "owner", "tags": ["x"]}')
+    (tmp_path / "b.txt").write_text("b")
+    (tmp_path / "b.txt.meta.json").write_text("{broken")
+    listed = files.list_files(spark, str(tmp_path)).select("path")
+    d = {r.path[-6:]: r for r in files.described(listed, files.read_sidecars(spark, str(tmp_path))).collect()}
+    assert (d["a.html"].side_title, d["a.html"].side_trust, d["a.html"].side_tags, d["a.html"].ignore) == ("Side", "owner", ["x"], False)
+    assert d["/b.txt"].side_error and d["/b.txt"].side_title is None
+    assert {r.emb_title for r in files.read_embedded(spark, str(tmp_path)).collect()} == {"Own title", None}
+
+    pack = tmp_path / "pack"
+    sha = [hashlib.sha256(x).hexdigest() for x in (b"one", b"two", b"three")]
+    for h, data in zip(sha[:2], (b"one", b"changed")):
+        (pack / "objects" / "sha256" / h[:2]).mkdir(parents=True, exist_ok=True)
+        (pack / "objects" / "sha256" / h[:2] / h).write_bytes(data)
+    import json
+
+    (pack / "manifest.json").write_text(json.dumps({"members": [{"item_id": h, "sha256": h} for h in sha]}))
+    got = {tuple(r) for r in files.pack_payload_codes(spark, str(pack)).collect()}
+    assert got == {("export_payload_checksum_mismatch", sha[1]), ("missing_export_payload", sha[2])}
+
+    (tmp_path / "log.jsonl").write_text('{"event_id": "1", "v": 2}\nnot json\n')
+    assert {(r.event_id, r._corrupt) for r in files.read_events(spark, str(tmp_path / "log.jsonl"), "event_id string, v int").collect()} == {("1", None), (None, "not json")}
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "one.json").write_text('{"name":\n "x"}')
+    assert [r.name for r in files.read_entities(spark, str(tmp_path / "e"), "name string").collect()] == ["x"]
+
+    xml = '<f xmlns="u"><entry><title> A  b</title><link href="/c/1"/><summary>s</summary></entry><entry><title>none</title></entry><item><title>T</title><url>x/2</url></item></f>'
+    raw = spark.createDataFrame([("k", xml), ("bad", "<"), ("null", None)], "book string, body string")
+    got = [tuple(r) for r in files.read_shelf_results(raw, "http://h:1").collect()]
+    assert got == [("k", 0, "A b", "http://h:1/c/1", "s"), ("k", 1, "T", "http://h:1/x/2", "")]
+
+
+def test_sinks(spark, tmp_path):
+    from quillspan.sources import sinks
+
+    log = str(tmp_path / "log")
+    ev = lambda *ids: spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "event_id string, n int")
+    sinks.append_events(ev("a", "b", "a", None), log)
+    sinks.append_events(ev("b", "c"), log)
+    assert sorted(r.event_id for r in spark.read.json(log).collect()) == ["a", "b", "c"]
+    sinks.write_version(ev("a"), str(tmp_path / "v"))
+    with pytest.raises(Exception):
+        sinks.write_version(ev("a"), str(tmp_path / "v"))
+    table = str(tmp_path / "chunks")
+    chunk = lambda *rows: spark.createDataFrame(list(rows), "item_id string, body string")
+    sinks.reindex(chunk(("x", "1"), ("y", "1"), ("z", "1")), chunk(("x", ""), ("y", ""), ("z", "")), table, buckets=2)
+    sinks.reindex(chunk(("x", "2"), ("x", "3")), chunk(("x", ""), ("y", "")), table, buckets=2)
+    assert sorted((r.item_id, r.body) for r in spark.read.parquet(table).collect()) == [("x", "2"), ("x", "3"), ("z", "1")]
+
+
+def test_pages_and_addresses(spark):
+    page = "<title>T</title><svg><p>no</p></svg><form><p onclick='x'>a &amp; <b>b</b></p></form><a href=' https://x.example/ '>l</a><a href='javascript:1'>m</a><br/>"
+    assert web.cleaned(page) == ('<p>a &amp; <b>b</b></p><a href="https://x.example/">l</a><a>m</a><br>', "a & b l m", "T")
+    assert web.cleaned("") == ("", "", "") and web.cleaned("x") == ("x", "x", "")
+    assert web.read_page("<title>T</title><tbody>a<tfoot>b\u00a0 c<script><p>x</script>") == ("T\na\nb\u00a0 c", "T")
+    ips = {"10.1.1.1": True, "8.8.8.8": False, "::1": True, "fe80::1": True, "2606:4700::1": False, "224.0.0.1": True, "0.0.0.0": True, "x": None, None: None}
+    assert {k: web.nonpublic(k) for k in ips} == ips
+    df = spark.createDataFrame([("a b/ü*~.txt", "text/HTML; charset=x", "https://h.example/x/A.TGZ?q=1.z"), ("", None, "https://h.example/.hidden")], "p string, t string, u string")
+    got = df.select(web.file_address(F.lit("https://f.example/"), F.col("p")), web.safe_suffix(F.col("u"), F.col("t")), web.suffix_of_type(F.col("t"))).collect()
+    assert tuple(got[0]) == ("https://f.example/a%20b/%C3%BC%2A~.txt", ".tgz", ".txt") and got[1][1] == ".bin"
+
+
+def test_sidecar_codes(spark):
+    raws = ['{"author": "a"}', '{"permissions": 1}', '{"odd": 1}', '{"acquired_at": "soon"}', "[]", None]
+    df = spark.createDataFrame([(r,) for r in raws], "raw string")
+    got = [r[0] for r in df.select(packs.sidecar_code(F.col("raw"))).collect()]
+    assert got == [None, "authority_field:permissions", "unknown_field:odd", "not_a_time:acquired_at", "not_an_object", "not_an_object"]
