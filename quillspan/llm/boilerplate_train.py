@@ -1,11 +1,15 @@
-"""Training of the page labeller: labels by rule, a recurrent network by example.
+"""Training of the page labeller: labels from structure, a recurrent network by example.
 
     python -m quillspan.llm.boilerplate_train FETCHED_REFERENCES.parquet [OUT.npz]
 
-Pages carry no labels, so strong cases are labelled by rule (link lists, menus,
-notices, teasers; running sentences, source lists), weak ones by their neighbours.
-The network sees neither the rules nor the site, only hashed words, tag paths and
-shapes in context. At most ``TRAIN_PAGES`` pages are used, chosen by page hash.
+Pages carry no labels, and no list of phrases is given: what is sure is labelled by the
+structure of the page and by what repeats over pages. A text that stands on several pages
+is furniture; so are texts with a repeated call after their last sentence and a lone line that begins like one on several pages while running
+text never begins a sentence so; link lists, trails and teasers are known by their form.
+Running text, tables, quotes and dated sources are the article. Weak leaves go by their
+neighbours. The network sees neither these rules nor the site, only hashed words, tag
+paths and shapes in context. At most ``TRAIN_PAGES`` whole pages are used, chosen by page
+hash.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from quillspan.llm.boilerplate import (
     SHAPES,
     WEIGHTS,
     WORD_SLOTS,
-    WORDS_READ,
+    Features,
     Leaf,
     features,
     heading,
@@ -35,50 +39,120 @@ from quillspan.llm.boilerplate import (
 TRAIN_PAGES = 4000
 WORD_DIM, PATH_DIM, HIDDEN = 24, 10, 32
 
-# Writings of notices and tools of a page, matched from its start.
-NOTICES = re.compile(
-    r"©|imprint|impressum|run by the volunteers|powered by|post: the|posted by|updated \w+ \d|read next|previous:|next:"
-    r"|tags:|related:|related entries|advertisement|most read|you may also like|printer-friendly|share this page|skip to content"
-    r"|back to top|leave a comment|\d+ comments|was this|follow the workshop|page last changed|subscribe to our|download as a"
-    r"|members may borrow|help us keep|did you know\?|your privacy matters|by continuing|this site stores|ce site garde"
-    r"|diese seite speichert|we use small files|manage consent|the page you asked|checking your browser|story continues"
-    r"|enjoying this\?|thanks to all who gave|[\w-]+ reading service|donate\b|help$|contact$|sign in$|anmelden$|newsletters$",
-    re.IGNORECASE,
-)
-_TEASED = re.compile(r"(…|\.\.\.|read more|weiterlesen|lire la suite|leer más)$", re.IGNORECASE)
+#: Pages on which a text, or the beginning of a lone sentence, makes it furniture.
+REPEATED = 3
+#: Share of the pages from which a text is furniture even if it is whole sentences.
+EVERYWHERE = 0.04
+
 _DATED = re.compile(r",\s*\d{4}$")
-_PART = re.compile(r"^[^\W\d]\w+ [A-Z]{1,3}-\d+$")
-_CODE = re.compile(r"^(check|set|log|if|for|run|wait|\$|>|#)\b|&&|\{|\}|;$")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_])")
+
+
+def _even(text: str) -> str:
+    return re.sub(r"\d+", "0", text.lower())
+
+
+def _same(text: str) -> str:
+    """What two texts are compared by: a sentence as it is, else without its numbers."""
+    return text.lower() if text[-1] in ".!?" else _even(text)
+
+
+def _running(text: str) -> bool:
+    """Whether a text is several whole sentences."""
+    parts = _SENTENCE.split(text)
+    return len(parts) > 1 and len(text) >= 40 * len(parts) and all(p.rstrip("\"'”)")[-1:] in tuple(".!?:") for p in parts)
+
+
+def _opening(text: str) -> str:
+    return " ".join(re.findall(r"\w+|[^\w\s]", _even(text))[:3])
+
+
+def _tail(text: str) -> str:
+    """What follows the last sentence of a text without an end of its own."""
+    parts = _SENTENCE.split(text)
+    return _even(parts[-1]) if len(parts) > 1 and parts[-1][-1] not in ".!?:;\"'”)" else ""
+
 
+def _form(leaf: Leaf) -> set[str]:
+    return {"h" if re.fullmatch(r"h[1-6]", p) else p for p in leaf.path}
 
-def rule_labels(page: list[Leaf], title: str, site: str = "") -> np.ndarray:
+
+class Repeats:
+    """What repeats over a sample of pages: whole texts and beginnings of lone sentences."""
+
+    def __init__(self, pages: list[list[Leaf]]) -> None:
+        whole: dict[str, int] = {}
+        for page in pages:
+            for t in {_same(leaf.text) for leaf in page}:
+                whole[t] = whole.get(t, 0) + 1
+        self.whole = {t for t, n in whole.items() if n >= REPEATED}
+        self.everywhere = {t for t, n in whole.items() if n >= max(REPEATED, EVERYWHERE * len(pages))}
+        ended: dict[str, int] = {}
+        for page in pages:
+            for t in {_tail(leaf.text) for leaf in page} - {""}:
+                ended[t] = ended.get(t, 0) + 1
+        self.ended = {t for t, n in ended.items() if n >= REPEATED}
+        opened: dict[str, int] = {}
+        running: set[str] = set()
+        for page in pages:
+            lone = set()
+            for leaf in page:
+                parts = _SENTENCE.split(leaf.text)
+                if len(parts) > 1 and _same(leaf.text) not in self.whole:
+                    running.update(_opening(p) for p in parts)
+                elif len(parts) == 1 and not _form(leaf) & {"table", "pre", "h"}:
+                    lone.add(_opening(leaf.text))
+            for t in lone:
+                opened[t] = opened.get(t, 0) + 1
+        self.opened = {t for t, n in opened.items() if n >= REPEATED and t not in running}
+
+
+def rule_labels(page: list[Leaf], title: str, repeats: Repeats, site: str = "") -> np.ndarray:
     """1 article, 0 furniture, -1 unknown, for each leaf."""
     n = len(page)
     out = np.full(n, -1)
+    plain = all("pre" in leaf.path for leaf in page)  # a page without markup
     for i, leaf in enumerate(page):
         t = leaf.text
-        sentence = len(t) >= 40 and t.rstrip("\"'”)")[-1] in ".!?:" and " " in t
-        if NOTICES.match(t) or _TEASED.search(t):
-            out[i] = 0
+        form, parts = _form(leaf), _SENTENCE.split(t)
+        sentence = len(t) >= 40 and t.rstrip("\"'”)")[-1:] in tuple(".!?:") and " " in t
+        code = bool(re.search(r"[<>{};]|&&", t))
+        if title and t == title:
+            out[i] = 1
         elif site and t.lower() == site.lower():
             out[i] = 0
+        elif "h" in form and leaf.linked < 0.5:
+            continue
+        elif leaf.linked < 0.5 and (form & {"table", "blockquote"} or "pre" in form and (code or not plain)):
+            out[i] = 1
+        elif _running(t) and _same(t) not in repeats.everywhere:
+            out[i] = 1
+        elif _DATED.search(t) and plain:
+            out[i] = 1
+        elif i + 1 < n and len(t.split()) <= 2 and _DATED.search(page[i + 1].text):
+            out[i] = 1  # the heading of a list of sources
+        elif _same(t) in repeats.whole:
+            out[i] = 0
+        elif t.endswith(("…", "...")) or _tail(t) in repeats.ended:
+            out[i] = 0
         elif " > " in t and not sentence:
             out[i] = 0
         elif len(re.split(r" \| |\s{3,}", t)) >= 3 and not re.search(r"\d", t):
             out[i] = 0
         elif leaf.linked > 0.95 and not _DATED.search(t):
             out[i] = 0
-        elif title and t == title:
-            out[i] = 1
-        elif t in ("Sources", "Quellen", "Fuentes") or (_DATED.search(t) and leaf.linked < 0.97):
+        elif len(parts) > 1:
             out[i] = 1
-        elif sentence or _CODE.search(t):
+        elif _opening(t) in repeats.opened and "li" not in form:
+            # a whole sentence may be the article's: its neighbours tell
+            out[i] = -1 if sentence else 0
+        elif _DATED.search(t) and 0 < leaf.linked < 0.97:
             out[i] = 1
-        elif _PART.match(t):
+        elif sentence:
             out[i] = 1
     # a heading above a teaser, and lists under a furniture heading, are furniture
     for i in range(n - 1):
-        if out[i] == -1 and _TEASED.search(page[i + 1].text):
+        if out[i] == -1 and page[i + 1].text.endswith(("…", "...")):
             out[i] = 0
     for i in range(1, n):
         if out[i] == -1 and out[i - 1] == 0 and "ul" in page[i].path and len(page[i].text.split()) <= 8:
@@ -96,7 +170,7 @@ def rule_labels(page: list[Leaf], title: str, site: str = "") -> np.ndarray:
 
 
 def fresh(rng: np.random.Generator) -> dict[str, np.ndarray]:
-    width = WORD_DIM + 3 * PATH_DIM + SHAPES
+    width = 2 * WORD_DIM + 3 * PATH_DIM + SHAPES
     g = lambda *s, k=0.1: (rng.standard_normal(s) * k).astype(np.float32)
     w = {"E": g(WORD_SLOTS, WORD_DIM), "P": g(PATH_SLOTS, PATH_DIM)}
     for d in "fb":
@@ -127,15 +201,13 @@ def _back(dout, trace, mask, wh):
     return dz, dwh
 
 
-def train(pages: list[tuple[str, str, str]], epochs: int = 6, seed: int = 7, batch: int = 24, quiet: bool = True):
+def train(pages: list[tuple[str, str, str]], epochs: int = 6, seed: int = 7, batch: int = 24, quiet: bool = True, repeats: Repeats | None = None):
     """Weights from (html, title, site) of pages."""
     rng = np.random.default_rng(seed)
-    data = []
-    for h, title, site in pages:
-        seq = leaves(h)[:400]
-        if seq:
-            data.append((*features(seq, heading(title)), rule_labels(seq, heading(title), site)))
-    data.sort(key=lambda d: len(d[0]))
+    seqs = [(leaves(h), heading(title), site) for h, title, site in pages]
+    repeats = repeats or Repeats([q for q, _, _ in seqs])
+    data = [(features(q, t), rule_labels(q, t, repeats, site)) for q, t, site in seqs if q]
+    data.sort(key=lambda d: len(d[1]))
     w = fresh(rng)
     mom, sq, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
     groups = [data[i : i + batch] for i in range(0, len(data), batch)]
@@ -144,15 +216,16 @@ def train(pages: list[tuple[str, str, str]], epochs: int = 6, seed: int = 7, bat
         rate = 4e-3 * (1 - epoch / epochs) + 2e-4
         for k in rng.permutation(len(groups)):
             part = groups[k]
-            t, b = max(len(d[0]) for d in part), len(part)
-            words, paths = np.zeros((t, b, WORDS_READ), np.int32), np.zeros((t, b, 3), np.int32)
-            shape, y, mask = np.zeros((t, b, SHAPES), np.float32), np.full((t, b), -1), np.zeros((t, b), np.float32)
-            for j, (a, p, s, lab) in enumerate(part):
-                m = len(a)
-                words[:m, j], paths[:m, j], shape[:m, j], y[:m, j], mask[:m, j] = a, p, s, lab, 1
-            # forgetting words at random makes the network lean on context
-            words = words * (rng.random(words.shape) > 0.15)
-            x = inputs(w, words, paths, shape)
+            t, b = max(len(d[1]) for d in part), len(part)
+            x = np.zeros((t, b, w["f_x"].shape[0]), np.float32)
+            y, mask = np.full((t, b), -1), np.zeros((t, b), np.float32)
+            seen = []
+            for j, (f, lab) in enumerate(part):
+                m = len(lab)
+                # forgetting words at random makes the network lean on context
+                f = Features(f.words * (rng.random(len(f.words)) > 0.15), f.ends, f.first * (rng.random(m) > 0.25), f.paths, f.shape)
+                x[:m, j], y[:m, j], mask[:m, j] = inputs(w, f), lab, 1
+                seen.append(f)
             fo, ft = lstm(x, mask, w["f_x"], w["f_h"], w["f_b"], keep=True)
             bo, bt = lstm(x[::-1], mask[::-1], w["b_x"], w["b_h"], w["b_b"], keep=True)
             joint = np.concatenate([fo, bo[::-1], x], -1)
@@ -172,14 +245,16 @@ def train(pages: list[tuple[str, str, str]], epochs: int = 6, seed: int = 7, bat
                 g[d + "_x"], g[d + "_b"] = np.einsum("tbi,tbj->ij", xin, dz), dz.sum((0, 1))
                 back = dz @ w[d + "_x"].T
                 dx += back if d == "f" else back[::-1]
-            some = np.maximum((words > 0).sum(-1, keepdims=True), 1)
-            ge = np.zeros_like(w["E"])
-            np.add.at(ge, words.ravel(), np.repeat((dx[..., :WORD_DIM] / some).reshape(-1, WORD_DIM), WORDS_READ, 0))
+            ge, gp = np.zeros_like(w["E"]), np.zeros_like(w["P"])
+            for j, f in enumerate(seen):
+                d = dx[: len(f.ends), j]
+                many = np.diff(f.ends, prepend=0)
+                np.add.at(ge, f.words, np.repeat(d[:, :WORD_DIM] / np.maximum(many, 1)[:, None], many, 0))
+                np.add.at(ge, f.first, d[:, WORD_DIM : 2 * WORD_DIM])
+                for k3 in range(3):
+                    at = 2 * WORD_DIM + k3 * PATH_DIM
+                    np.add.at(gp, f.paths[:, k3], d[:, at : at + PATH_DIM])
             ge[0] = 0
-            gp = np.zeros_like(w["P"])
-            for k3 in range(3):
-                at = WORD_DIM + k3 * PATH_DIM
-                np.add.at(gp, paths[..., k3].ravel(), dx[..., at : at + PATH_DIM].reshape(-1, PATH_DIM))
             g["E"], g["P"] = ge, gp
             step += 1
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
@@ -207,11 +282,12 @@ def main(source: str, out: str = WEIGHTS) -> None:
     rows = rows.assign(o=[zlib.crc32(str(i).encode()) for i in rows.page_id]).sort_values("o")
     pages = [(h, t, site_name(t)) for h, t in zip(rows.html, rows.title)]
     held, used = pages[: len(pages) // 10], pages[len(pages) // 10 :][:TRAIN_PAGES]
-    w = train(used, quiet=False)
+    repeats = Repeats([leaves(h) for h, _, _ in used])
+    w = train(used, quiet=False, repeats=repeats)
     np.savez_compressed(out, **{k: v.astype(np.float16) for k, v in w.items()})
     good = seen = 0
     for (_, t, s), got in zip(held, label_pages(w, [(h, t) for h, t, _ in held])):
-        y = rule_labels([leaf for leaf, _ in got], heading(t), s)
+        y = rule_labels([leaf for leaf, _ in got], heading(t), repeats, s)
         for (_, k), v in zip(got, y):
             if v >= 0:
                 seen += 1

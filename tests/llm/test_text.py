@@ -160,10 +160,37 @@ def test_page_labels():
         "<p>Powered by ShelfPress at Yarrowby (build 1991)</p>"
     )
     (got,) = boilerplate.label_pages(w, [(page, "Steady valve ledger – Fenn Archive")])
-    assert [leaf.line_no for leaf, kept in got if kept] == [4, 5]
+    assert [leaf.lines for leaf, kept in got if kept] == [(5,), (6,)]
+    # the same page on one line, with broken tags, comments and scripts
+    def kept(p):
+        return [leaf.text for leaf, k in boilerplate.label_pages(w, [(p, "Steady valve ledger – Fenn Archive")])[0] if k]
+
+    article = kept(page)
+    assert len(article) == 2 and kept(page.replace("\n", "")) == article
+    odd = page.replace("<p>The", "<!-- <p>no -->\n<script>\nvar a = '<p>track()</p>';</script><p\nclass='x'>The").replace("</p>", "</p\n>")
+    assert kept(odd) == article
     assert boilerplate.label_pages(w, [("", ""), (" \n", "x"), (page * 40, "")])[0] == []
 
 
+def test_leaves_of_markup():
+    page = "<ul><li>a<li>b <b>c</b></ul><pre>x\n  y</pre><div>one <span>two</span> three<br>four</div><div><span>p</span><span>q</span></div><table><tr><td>1</td><td>2</td></tr></table>&lt;z&gt;"
+    got = boilerplate.leaves(page)
+    assert [leaf.text for leaf in got] == ["a", "b c", "x", "y", "one two three", "four", "p", "q", "1 2", "<z>"]
+    assert [leaf.lines for leaf in got][2:4] == [(1,), (2,)]
+    assert boilerplate.leaves("<p>one\ntwo</p>")[0].lines == (1, 2)
+    assert boilerplate.leaves("") == boilerplate.leaves("<script>x") == boilerplate.leaves("<!-- x") == []
+    long = boilerplate.features(boilerplate.leaves("<p>" + "word " * 5000 + "</p>"))
+    assert len(long.words) == 9999
+
+
+def test_text_stands_for_html(spark):
+    schema = "page_id long, html string, title string, loaded_at timestamp, text string"
+    text = "The valve was weighed at the end of the season. It runs slowly when the casing is cold, and the log is kept in the reading room."
+    df = spark.createDataFrame([(1, None, "Valve", None, text), (2, None, "t", None, None), (3, None, "t", None, " ")], schema)
+    assert [r.page_id for r in boilerplate.article_text(df).collect()] in ([1], [])
+    assert boilerplate.article_lines(df).count() == 0
+
+
 def test_pages_of_odd_tables(spark):
     schema = "page_id long, html string, title string, loaded_at timestamp, text string"
     df = spark.createDataFrame([(1, None, None, None, "x"), (2, "", "t", None, None), (None, "<p>a</p>", "t", None, None)], schema)
