@@ -8,7 +8,9 @@ cleaned of it.
 
 A repeat broken up so that few n-grams are left is found by its words, without loss: what
 keeps ``SHARE`` of an item's words keeps at least ``RARE`` of all among its rarest
-``1 - SHARE + RARE``, so a stretch with so many of these is verified in the same way.
+``1 - SHARE + RARE``, so a stretch with so many of these is verified in the same way. Of
+few items of few words (``PRODUCT_PAIRS``), which their rarest words do not tell apart, all
+words are counted instead, by products of matrices; both find the same.
 
 Scale: one narrow pass over the documents, no shuffle. The broadcast is bounded: at most
 ``MAX_ITEMS`` items, a parameter (a held-out set is small; more are refused), indexed
@@ -43,9 +45,11 @@ NGRAM, MIN_HITS = 3, 4
 SHARE, STRETCH = 0.5, 1.5
 RARE = 0.25
 #: Texts and blocks looked at side by side: working memory, not a limit of the result.
-PART_CHARS, BLOCKS_AT_ONCE = 1 << 20, 1 << 14
+PART_CHARS, BLOCKS_AT_ONCE = 1 << 18, 1 << 14
 #: Most (item, word) codes looked up in a table rather than a sorted list.
 DENSE_PAIRS = 1 << 23
+#: Most (item, word) codes counted by products of matrices, over steps of so many words.
+PRODUCT_PAIRS, STEP = 1 << 20, 16
 BLOCK_ITEMS = 20_000
 #: Most evaluation items; a held-out set is small by its nature.
 MAX_ITEMS = 1_000_000
@@ -71,6 +75,19 @@ def _accents() -> re.Pattern:
     return re.compile(f"[{_ranges('M')}]")
 
 
+class _Plain(dict):
+    """Characters of decomposed text to what stands for them: none for accents and what is
+    no part of a word, Latin letters for those that look like them."""
+
+    def __missing__(self, c: int) -> str | int | None:
+        x = chr(c)
+        self[c] = None if _accents().match(x) or _NOTHING.match(x) else _LOOK.get(c, c)
+        return self[c]
+
+
+_PLAIN = _Plain()
+
+
 def normal_words(text: str) -> list[str]:
     """Words without case, accents, punctuation, cuts, look-alikes and markup."""
     if "&" in text:
@@ -82,9 +99,9 @@ def normal_words(text: str) -> list[str]:
     text = _CUT.sub("", text)
     if text.isascii():
         return _ASCII_WORD.findall(text.lower().replace("'", "").replace("`", ""))
-    text = _NOTHING.sub("", text)
-    text = unicodedata.normalize("NFKD", text).casefold()
-    return _WORD.findall(_NOTHING.sub("", _accents().sub("", text)).translate(_LOOK))
+    # the one of the characters left out that would be decomposed
+    text = unicodedata.normalize("NFKD", text.replace("\u00b4", "")).casefold()
+    return _WORD.findall(text.translate(_PLAIN))
 
 
 def common_words(masks: dict[int, int], m: int, words: list[int]) -> int:
@@ -151,6 +168,8 @@ class ItemSet:
         # of its size - need + n rarest words a repeat keeps n
         self.least_words = np.maximum(1, (size * RARE).astype(np.int64))
         self.word_first: np.ndarray | None = None
+        self.by_product = len(self.items) * self.base <= PRODUCT_PAIRS
+        self._products: tuple[np.ndarray, list[tuple]] | None = None
         self.short = {}
         for k, item in enumerate(self.items):
             if len(item) < NGRAM:
@@ -201,8 +220,6 @@ class ItemSet:
         line = np.zeros(at[-1], np.int64)
         for x, i in zip(lists, at):
             line[i : i + len(x)] = x
-        if self.word_first is None:
-            self._rank(line)
         sure: set[tuple[int, int]] = set()
         for k, runs in self._crowded(*self._grams(line), self.least_grams):
             for run in runs:
@@ -212,14 +229,13 @@ class ItemSet:
                     if not whole:
                         out[d] += got
         # what has too few n-grams left is found by its words alone, which is exact
-        runs = [(k, a, b) for k, part in self._crowded(*self._prefix(line), self.least_words, ends=False) for a, b in part]
-        if runs:
-            who, first, last = np.array(runs, np.int64).T
+        who, low, high = self._blocks(line) if self.by_product else self._listed(line)
+        if len(who):
+            who, first, last = self._counted(who, low, high, line)
             if not whole:
                 doc = np.searchsorted(at, first, side="right") - 1
                 open_ = np.array([(d, k) not in sure for d, k in zip(doc.tolist(), who.tolist())], bool)
                 who, first, last = who[open_], first[open_], last[open_]
-            who, first, last = self._counted(who, first, last, line)
             doc = np.searchsorted(at, first, side="right") - 1
             for i, a, b in self._dense(who, first, last, line):
                 d, k = int(doc[i]), int(who[i])
@@ -302,14 +318,77 @@ class ItemSet:
         at = np.flatnonzero(self.word_first[line + 1] > self.word_first[line])
         return _spread(at, self.word_first[line[at]], self.word_first[line[at] + 1], self.word_owner)
 
-    def _counted(self, who: np.ndarray, first: np.ndarray, last: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _listed(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, low, high) of the parts of the line that hold all stretches with enough of
+        an item's rarest words."""
+        if self.word_first is None:
+            self._rank(line)
+        runs = [(k, a, b) for k, part in self._crowded(*self._prefix(line), self.least_words, ends=False) for a, b in part]
+        who, first, last = np.array(runs, np.int64).reshape(-1, 3).T
+        # a stretch with hits starts at most its length before the first of them
+        return who, np.maximum(first - self.width[who], 0), np.minimum(last + self.width[who] + 1, len(line))
+
+    def _tables(self) -> tuple[np.ndarray, list[tuple]]:
+        """The columns of words, those that an item has most often first, and (steps that hold
+        a stretch, items, how many columns any of them has j times or more for each j,
+        (column, j) by items) of the items whose stretches span as many steps."""
+        if self._products is None:
+            steps = (self.width + STEP - 2) // STEP + 1
+            steps[self.size < NGRAM] = 0
+            times = np.zeros((len(self.items), self.base), np.int64)
+            for k in np.flatnonzero(steps).tolist():
+                times[k] = np.bincount(self.items[k], minlength=self.base)
+            order = np.argsort(-times.max(axis=0), kind="stable")
+            column, times, parts = np.argsort(order), times[:, order], []
+            for n in np.unique(steps[steps > 0]).tolist():
+                some = np.flatnonzero(steps == n)
+                most = times[some].max(axis=0)
+                size = [int(np.flatnonzero(most >= j)[-1]) + 1 for j in range(1, int(most.max()) + 1)]
+                has = np.concatenate([(times[some, :c] >= j).T for j, c in enumerate(size, 1)])
+                parts.append((n, some, size, has.astype(np.float32)))
+            self._products = (column, parts)
+        return self._products
+
+    def _blocks(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, low, high) of the parts of the line that hold all stretches with as many
+        words as a repeat needs: of every block of steps that holds any stretch starting in
+        its first one, the words in common with each item (repeated ones as often as both
+        have them) are a product of two matrices."""
+        column, tables = self._tables()
+        at = np.flatnonzero(line)
+        n = len(line) // STEP + 1
+        known = np.concatenate([[0], np.cumsum(np.bincount(at // STEP, minlength=n))])
+        # sums that wrap around still differ by what a block holds
+        kind = np.min_scalar_type(STEP * max([t[0] for t in tables], default=1))
+        counts = np.bincount(at // STEP * self.base + column[line[at]], minlength=n * self.base).astype(kind)
+        total = np.zeros((n + 1, self.base), kind)
+        np.cumsum(counts.reshape(n, self.base), axis=0, dtype=kind, out=total[1:])
+        out = [np.empty((3, 0), np.int64)]
+        for steps, items, size, has in tables:
+            end = np.minimum(np.arange(n) + steps, n)
+            need = self.need[items]
+            full = np.flatnonzero(known[end] - known[:-1] >= need.min())
+            block = total[end[full]] - total[full]
+            seen = np.empty((len(full), len(has)), bool)
+            for j, c in enumerate(size, 1):
+                a = sum(size[: j - 1])
+                np.greater_equal(block[:, :c], j, out=seen[:, a : a + c])
+            k, b = np.nonzero((seen.astype(np.float32) @ has >= need).T)
+            if not len(k):
+                continue
+            b = full[b]
+            # blocks that overlap are one part
+            step = np.flatnonzero((np.diff(k) != 0) | (np.diff(b) > steps)) + 1
+            begin, last = np.concatenate([[0], step]), np.concatenate([step, [len(k)]]) - 1
+            out.append(np.stack([items[k[begin]], b[begin] * STEP, np.minimum((b[last] + steps) * STEP, len(line))]))
+        return tuple(np.concatenate(out, axis=1))
+
+    def _counted(self, who: np.ndarray, low: np.ndarray, high: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, first, last) of the parts of runs where as many words as a repeat needs lie
         within a stretch, each counted as often as the item has it."""
         none = np.empty(0, np.int64)
         if not len(who):
             return none, none, none
-        # a stretch with hits starts at most its length before the first of them
-        low, high = np.maximum(first - self.width[who], 0), np.minimum(last + self.width[who] + 1, len(line))
         size = high - low
         run = np.repeat(np.arange(len(who), dtype=np.int32), size)
         pos = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)

@@ -139,6 +139,30 @@ def test_random_stretches_against_plain_search():
         assert {k for k, _, _ in got} == want
 
 
+def test_products_and_rare_words_find_the_same():
+    rng = np.random.default_rng(7)
+    vocab = [f"v{i}" for i in range(200)]
+    items = [" ".join(rng.choice(vocab, rng.integers(12, 90))) for _ in range(12)]
+    texts = [list(rng.choice(vocab, rng.integers(0, 400))) for _ in range(40)]
+    for text in texts[::3]:
+        item = items[rng.integers(12)].split()
+        text[5:5] = [w for w in item if rng.random() < 0.6]
+    a, b = leaks.ItemSet(list(range(12)), items), leaks.ItemSet(list(range(12)), items)
+    assert a.by_product
+    b.by_product = False
+    for whole in (False, True):
+        one, two = ([{k for k, _, _ in x} for x in s.stretches(texts, whole)] for s in (a, b))
+        assert one == two and any(one)
+    # words common to all items leave less than half to be counted one by one
+    line = np.array([a.vocab.get(w, 0) for x in texts for w in [*x, *[""] * 110]], np.int64)
+    (_, low, high), (_, low_b, high_b) = a._blocks(line), b._listed(line)
+    assert (high - low).sum() * 2 < (high_b - low_b).sum()
+
+
+def test_words_by_one_table():
+    assert leaks.normal_words("a\u00b4b \u0149o \u00c9\u0301t\u00e9 \u043e\u0440\u00e6 \u200bx\u00ady \ufb01t \u0130") == ["ab", "no", "ete", "opae", "xy", "fit", "i"]
+
+
 def test_leaked_stretches_are_taken_out(spark):
     item = " ".join(f"word{i}" for i in range(40))
     docs = spark.createDataFrame(
